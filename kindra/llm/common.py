@@ -10,11 +10,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy operators work on at a time; a longer document forms a chunk of its own.
 CHUNK_BYTES = 2 << 20
+#: Bytes of one Arrow batch on its way to a Python worker or back.
+BATCH_BYTES = 4 << 20
 #: A null doc_id sorts behind every real one.
 NULL_ID = (1 << 63) - 1
 _SPACE = np.zeros(256, np.bool_)
@@ -25,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Arrow batches are bounded by rows alone unless told otherwise; long texts need a bound in bytes."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -106,10 +118,11 @@ def id_array(column: pa.Array) -> np.ndarray:
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold ``limit`` bytes or are one row."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back at once
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = np.array([len(x) if x else 0 for x in blob_list(batch.column(batch.schema.get_field_index(text)))], np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, at = np.cumsum(sizes), 0
         while at < len(sizes):
             base = ends[at - 1] if at else 0

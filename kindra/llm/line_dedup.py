@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindra.llm.common import NULL_ID, Scratch, blob_list, chunks, column_of, holding, id_array, mixed, shuffle_width
+from kindra.llm.common import NULL_ID, Scratch, blob_list, bounded_batches, chunks, column_of, holding, id_array, mixed, shuffle_width
 
 MIN_DOCS, MIN_CHARS = 3, 20
 HOT_SHARE = 10_000
@@ -211,7 +211,7 @@ def dedup_lines(documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: int =
     """The rows of ``documents`` with n_lines, n_dropped, kept_text (with ``keep_text``) and kept_sha256.
 
     Without ``keep_text`` only doc_id and the figures are returned and no text leaves the last task."""
-    spark = documents.sparkSession
+    spark = bounded_batches(documents).sparkSession
     refs = Scratch(documents.select("doc_id", "text").mapInArrow(_references(min_chars), "a long, b long, doc long"), "lines")
     lines = refs.read()
     total = lines.count()

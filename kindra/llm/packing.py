@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kindra.llm.common import Scratch, blob_list, chunks, column_of, holding, shuffle_width
+from kindra.llm.common import Scratch, blob_list, bounded_batches, chunks, column_of, holding, shuffle_width
 
 LENGTH, END_ID = 4096, 2
 DIMS, CELL_BITS, HASHED = 4, 10, 1024
@@ -178,7 +178,7 @@ def _cut(starts: dict[int, int], total: int, length: int):
 
 def pack(documents: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    spark = documents.sparkSession
+    spark = bounded_batches(documents).sparkSession
     schema = "doc_id long, n long, " + ", ".join(f"p{k} double" for k in range(DIMS)) + ", ids binary"
     encoded = Scratch(documents.select("doc_id", "text").mapInArrow(_tokenize(tokenizer_path, end_id), schema), "ids")
     rows = encoded.read()

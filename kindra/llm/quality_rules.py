@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindra.llm.common import Words, blob_list, chunks, column_of, gram_hash, gram_places, held_out, mixed, words_of
+from kindra.llm.common import Words, blob_list, bounded_batches, chunks, column_of, gram_hash, gram_places, held_out, mixed, words_of
 
 MIN_WORDS, MAX_REPEAT, REPEAT_WINDOW = 10, 20, 5
 #: Share of word characters that content lines must have.
@@ -230,4 +230,4 @@ def quality_rules(documents: DataFrame, field: LineField, columns: list[str] | N
 
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in carried]
     fields = ", ".join([*own, *(f"{f.name} {'long' if f.type == pa.int64() else 'double' if f.type == pa.float64() else 'boolean'}" for f in RESULTS)])
-    return documents.select(*dict.fromkeys([*carried, "text"])).mapInArrow(emit, fields)
+    return bounded_batches(documents).select(*dict.fromkeys([*carried, "text"])).mapInArrow(emit, fields)

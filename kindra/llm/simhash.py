@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindra.llm.common import Scratch, blob_list, chunks, column_of, holding, shuffle_width
+from kindra.llm.common import Scratch, blob_list, bounded_batches, chunks, column_of, holding, shuffle_width
 
 SHINGLE, SEED, LIMIT, BITS = 4, 42, 4, 64
 PARTITION_COUNTS = (2, 3, 4, 5)
@@ -359,7 +359,7 @@ def hex_fingerprint(fp: Column) -> Column:
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id that links reach) of every row."""
-    spark: SparkSession = documents.sparkSession
+    spark: SparkSession = bounded_batches(documents).sparkSession
     marked = Scratch(documents.select("doc_id", "text").mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long"), "fingerprints")
     nodes = Scratch(marked.read().groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     distinct = nodes.read().where("node IS NOT NULL")

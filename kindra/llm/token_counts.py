@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from kindra.llm.common import blob_list, chunks, column_of
+from kindra.llm.common import blob_list, bounded_batches, chunks, column_of
 
 OVER = 512
 #: Fixed value: the published pattern of the byte-level pre-tokenizer.
@@ -131,4 +131,4 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, over: int = OVER, co
             yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in columns), pa.array(sizes), pa.array(tokens), pa.array(tokens > over)], [*columns, "n_bytes", "n_tokens", "over_limit"])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "n_bytes long, n_tokens long, over_limit boolean"])
-    return documents.select(*dict.fromkeys([*columns, "text"])).mapInArrow(emit, fields)
+    return bounded_batches(documents).select(*dict.fromkeys([*columns, "text"])).mapInArrow(emit, fields)
