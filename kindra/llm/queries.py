@@ -14,7 +14,9 @@ from kindra.llm.line_dedup import dedup_lines
 from kindra.llm.packing import pack
 from kindra.llm.quality_rules import fit_line_field, quality_rules
 from kindra.llm.simhash import near_duplicates
+from kindra.llm.substring_dedup import remove_repeats
 from kindra.llm.token_counts import count_tokens
+from kindra.llm.url_filter import filter_urls
 
 #: Folder of the public vocabulary files; without the variable their package tells it.
 TOKENIZER_DIR_VARIABLE = "KINDRA_TOKENIZERS"
@@ -46,6 +48,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents, field, ["doc_id"])
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -55,8 +61,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_packing, op3_simhash, op4_quality_rules, op8_token_counts, op9_decontamination)
+    f.__name__: f for f in (op1_line_dedup, op2_packing, op3_simhash, op4_quality_rules, op7_substring_dedup, op8_token_counts, op9_decontamination, op10_url_filter)
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -72,6 +82,16 @@ marked AS (SELECT l.*, g.key IS NOT NULL AND g.keeper <> l.doc_id AS dropped FRO
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op7_substring_dedup": """
+WITH doc AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D ]+'), lambda w: w <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc WHERE len(w) >= 13)),
+least AS (SELECT key, min(doc_id) AS first FROM win GROUP BY key HAVING count(*) > 1),
+lost AS (SELECT w.doc_id, list_distinct(flatten(list(range(w.i, w.i + 13)))) AS gone FROM win w JOIN least l ON w.key = l.key AND l.first < w.doc_id GROUP BY w.doc_id),
+kept AS (SELECT d.doc_id, d.w, coalesce(l.gone, []) AS gone FROM doc d LEFT JOIN lost l USING (doc_id)),
+flat AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM kept),
+stay AS (SELECT f.doc_id, string_agg(f.word, ' ' ORDER BY f.i) AS text FROM flat f LEFT JOIN (SELECT doc_id, unnest(gone) AS i FROM lost) g ON f.doc_id = g.doc_id AND f.i = g.i WHERE g.i IS NULL GROUP BY f.doc_id)
+SELECT k.doc_id, CAST(len(k.w) AS BIGINT) AS n_words, CAST(len(k.gone) AS BIGINT) AS n_removed, sha256(coalesce(s.text, '')) AS kept_sha256
+FROM kept k LEFT JOIN stay s USING (doc_id)""",
     "op9_decontamination": f"""
 WITH doc AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents),
 item AS (SELECT item_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
