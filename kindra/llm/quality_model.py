@@ -27,6 +27,8 @@ FILTERS, WIDTH, CHUNK = 12, 6, 256
 THRESHOLD = 0.7
 #: Bounds of the fit: documents of each label (least hash of doc_id first) and their greatest length; passes over them.
 FIT_PER_LABEL, FIT_CHARS, PASSES = 500, 6000, 8
+#: Words of the extracts that are added to the fit, one of each document of label 1: short clean texts are rare in it.
+EXTRACT_WORDS = 12
 #: Bytes that are convolved at once.
 _STRIP = 1 << 15
 
@@ -164,12 +166,17 @@ def fit_quality(documents: DataFrame, labels: DataFrame, per_label: int = FIT_PE
     draw = F.xxhash64("doc_id", F.lit("quality"))
     chosen = known.where("quality = 0").orderBy(draw, "doc_id").limit(per_label).unionByName(known.where("quality = 1").orderBy(draw, "doc_id").limit(per_label))
     rows = documents.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").orderBy(draw, "text").limit(4 * per_label).collect()
-    seen, texts, marks = set(), [], []
+    seen, texts, marks, rng = set(), [], [], np.random.default_rng(9)
     for r in rows:
         if r.text not in seen:
             seen.add(r.text)
             texts.append(r.text.encode())
             marks.append(r.quality)
+            words = texts[-1].split(b" ")
+            if r.quality == 1:
+                at = int(rng.integers(0, max(1, len(words) - EXTRACT_WORDS)))
+                texts.append(b" ".join(words[at : at + int(rng.integers(1, EXTRACT_WORDS + 1))]))
+                marks.append(1)
     return ByteNetwork.fit(texts, marks, share) if len(set(marks)) == 2 else ByteNetwork.constant(share)
 
 

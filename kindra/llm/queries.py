@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from kindra.llm.common import table
 from kindra.llm.decontaminate import decontaminate
+from kindra.llm.language_id import fit_languages, identify_languages
 from kindra.llm.line_dedup import dedup_lines
 from kindra.llm.packing import pack
+from kindra.llm.quality_model import fit_quality, score_quality
 from kindra.llm.quality_rules import fit_line_field, quality_rules
 from kindra.llm.simhash import near_duplicates
 from kindra.llm.substring_dedup import remove_repeats
@@ -48,6 +50,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents, field, ["doc_id"])
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return identify_languages(documents, fit_languages(documents))
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return score_quality(documents, fit_quality(documents, table(spark, sf_dir, "labels")))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -66,7 +78,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_packing, op3_simhash, op4_quality_rules, op7_substring_dedup, op8_token_counts, op9_decontamination, op10_url_filter)
+    f.__name__: f
+    for f in (op1_line_dedup, op2_packing, op3_simhash, op4_quality_rules, op5_language_id, op6_quality_model, op7_substring_dedup, op8_token_counts, op9_decontamination, op10_url_filter)
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
