@@ -174,6 +174,24 @@ class Words:
         return np.diff(self.first)
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: int) -> list[np.ndarray]:
+    """``seeds`` independent 64-bit hashes of each span of bytes; spans are in order, not empty, and don't overlap."""
+    if len(starts) == 0:
+        return [np.zeros(0, np.uint64)] * seeds
+    lengths = ends - starts
+    heads = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    place = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
+    letters = raw[place + np.repeat(starts, lengths)]
+    longest, out = int(lengths.max()), []
+    for seed in range(seeds):
+        power = np.full(longest, _BASES[seed], np.uint64)
+        power[0] = 1
+        power = np.multiply.accumulate(power)
+        total = np.add.reduceat(_BYTE_KEYS[seed][letters] * power[place], heads)
+        out.append(_mixed(total + lengths.astype(np.uint64) * _BYTE_KEYS[seed][0]))
+    return out
+
+
 def words_of(texts: list[bytes | None], seeds: int = 1) -> Words:
     """Words and ``seeds`` independent 64-bit hashes of each, all in numpy."""
     sizes = np.array([len(x) if x else 0 for x in texts], np.int64)
@@ -184,20 +202,7 @@ def words_of(texts: list[bytes | None], seeds: int = 1) -> Words:
     edge = np.diff(solid.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     first = np.searchsorted(starts, offsets)
-    hashes: list[np.ndarray] = []
-    if len(starts) == 0:
-        return Words(starts, ends, first, [np.zeros(0, np.uint64)] * seeds, offsets, buffer)
-    letters, lengths = raw[solid], ends - starts
-    heads = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(len(letters)) - np.repeat(heads, lengths)
-    longest = int(lengths.max())
-    for seed in range(seeds):
-        power = np.full(longest, _BASES[seed], np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        total = np.add.reduceat(_BYTE_KEYS[seed][letters] * power[place], heads)
-        hashes.append(_mixed(total + lengths.astype(np.uint64) * _BYTE_KEYS[seed][0]))
-    return Words(starts, ends, first, hashes, offsets, buffer)
+    return Words(starts, ends, first, span_hashes(raw, starts, ends, seeds), offsets, buffer)
 
 
 def gram_hash(symbols: np.ndarray, size: int, seed: int = 0) -> np.ndarray:

@@ -13,7 +13,7 @@ packed one by one (the order among equal rows is left open); other columns are i
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,18 +26,24 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kindra.llm.common import Scratch, blob_list, bounded_batches, chunks, column_of, holding, shuffle_width
+from kindra.llm.token_counts import byte_letters
 
 LENGTH, END_ID = 4096, 2
 DIMS, CELL_BITS, HASHED = 4, 10, 1024
 TIE_BITS = 62 - DIMS * CELL_BITS
-#: Entries of a worker's table of pieces; a full table is emptied. Longer pieces are not kept.
-CACHE, CACHED_BYTES = 200_000, 48
-_CUT = re.compile(rb"[ \t-\r]+")
+#: Pieces that a worker remembers at most; the half that was not used lately goes first. Longer pieces are not kept.
+CACHE, CACHED_BYTES = 500_000, 48
+_MARKS = b'!"#$%&()*+,-./:;=?@[]^_`{|}~'
 
 
 class PieceEncoder:
-    """Ids of whole texts. The tokenizer's normalizer and pre-tokenizer never look across white space, so a text's ids
-    are those of its pieces between ASCII white space, and each distinct piece is encoded once."""
+    """Ids of whole texts from those of their pieces, each distinct piece encoded once.
+
+    The tokenizer's normalizer and pre-tokenizer never look across white space, so a text's ids are those of its pieces
+    between ASCII white space. A piece is cut once more where an ASCII letter or digit meets a run of marks that ends the
+    piece, as the pre-tokenizer cuts there too (apostrophes and angle brackets are left alone: they begin contractions and
+    special strings). Pieces that are one pre-token in normal form go straight to the merges.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,27 +51,70 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit two bytes")
-        self.ids: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian two-byte ids of each text."""
-        split = [x.split() for x in texts]
-        known = self.ids
-        new = list({p for pieces in split for p in pieces if p not in known})
-        here: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False), strict=True):
-                here[piece] = np.array(e.ids, "<u2").tobytes()
-        get = known | here if len(known) < len(here) else None
-        if get is None:
-            out = [b"".join([known.get(p) or here.get(p, b"") for p in pieces]) for pieces in split]
+        self.letters, self.model = byte_letters(), self.tokenizer.model
+        self.two_bytes = [i.to_bytes(2, "little") for i in range(1 << 16)]
+        self.met = bytearray(1 << 22)
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _fresh(self, piece: bytes) -> bytes:
+        if piece.isalpha():  # ASCII letters
+            word = piece.lower().decode()
         else:
-            out = [b"".join([get[p] for p in pieces]) for pieces in split]
-        if len(known) + len(here) > CACHE:
-            known.clear()
-        if len(here) <= CACHE:
-            known.update((p, i) for p, i in here.items() if len(p) <= CACHED_BYTES)
+            text = piece.decode("utf-8", "replace")
+            if piece.isascii():
+                plain = not piece.strip(_MARKS)
+            else:
+                plain = text.isalpha() and max(text) < "\u0250" and "\u0130" not in text and unicodedata.is_normalized("NFC", text)
+            if not plain:
+                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+            word = "".join([self.letters[b] for b in text.lower().encode()])
+        two = self.two_bytes
+        return b"".join([two[t.id] for t in self.model.tokenize(word)])
+
+    def _kept(self, piece: bytes, ids: bytes) -> bytes:
+        """Remembers a piece that comes for the second time: most come once."""
+        place = hash(piece) & (len(self.met) - 1)
+        if not self.met[place]:
+            self.met[place] = 1
+        elif len(piece) <= CACHED_BYTES:
+            if len(self.recent) >= CACHE // 2:
+                self.older = dict(self.recent)
+                self.recent.clear()
+                self.met = bytearray(len(self.met))
+            self.recent[piece] = ids
+        return ids
+
+    def _part(self, part: bytes) -> bytes:
+        ids = self.recent.get(part)
+        if ids is None:
+            ids = self.older.get(part)
+            ids = self._kept(part, self._fresh(part) if ids is None else ids)
+        return ids
+
+    def _piece(self, piece: bytes) -> bytes:
+        """Ids of a piece that was not used lately."""
+        ids = self.older.get(piece)
+        if ids is None:
+            stem = piece.rstrip(_MARKS)
+            if not stem or len(stem) == len(piece) or not stem[-1:].isalnum():
+                return self._part(piece)
+            ids = self._part(stem) + self._part(piece[len(stem) :])
+        return self._kept(piece, ids)
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Two-byte ids of each text."""
+        out, get, piece_ids = [], self.recent.get, self._piece
+        for text in texts:
+            pieces = (text or b"").split()
+            ids = list(map(get, pieces))
+            at = 0
+            try:
+                while True:
+                    at = ids.index(None, at)
+                    ids[at] = piece_ids(pieces[at])
+            except ValueError:
+                out.append(b"".join(ids))
         return out
 
 
@@ -92,7 +141,7 @@ def _tokenize(path: str, end_id: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             end = np.array([end_id], "<u2").tobytes()
-            blobs = [x + end for x in encoder(path).encode([x or b"" for x in blob_list(column_of(batch, "text"))])]
+            blobs = [x + end for x in encoder(path).encode(blob_list(column_of(batch, "text")))]
             points = np.array([point(np.frombuffer(x, "<u2")) for x in blobs], np.float64)
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array([len(x) // 2 for x in blobs], pa.int64()), *(pa.array(points[:, k]) for k in range(DIMS)), pa.array(blobs, pa.binary())], ["doc_id", "n", *(f"p{k}" for k in range(DIMS)), "ids"])
 
