@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from kindra.plans import demo
+
+QUERIES = dict(demo.QUERIES)
+ORACLES = dict(demo.ORACLES)
