@@ -1,7 +1,7 @@
 """URL filters: rules by host and path, and a naive Bayes verdict on segmented host names for the rest.
 
 Host names run words together. A label (what stands between dots and hyphens) is split by unigram Viterbi: words are the
-labels and path parts that occur in the URLs, with their counts over all pages, and the seed words; a label's substrings
+labels and path parts that occur in the URLs, with their counts over all distinct hosts and all paths, and the seed words; a label's substrings
 are joined with the word counts, so no word list is sent around. The tokens of a URL are the words of its host and of its
 path. Multinomial naive Bayes over them is trained on all pages by weak labels: a page is a block example if its host's
 words include a seed word, else an allow example. Tokens are hashed to ``BUCKETS`` counts, so the model has one size.
@@ -30,7 +30,7 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Words that mark unwanted hosts: the weak labels of the training pages.
 SEED_WORDS = ("ads", "bets", "casino", "cheap", "clickbait", "farm", "free", "loan", "pills", "poker", "porn", "spam", "track", "viagra", "xxx")
 SEED_COUNT = 5
-BUCKETS, MAX_WORD = 1 << 16, 20
+BUCKETS, MIN_WORD, MAX_WORD = 1 << 16, 3, 20
 #: Added to every count: little, as most buckets never occur.
 SMOOTHING = 0.01
 #: Code points of a label that are segmented at once; longer labels are cut there first.
@@ -91,18 +91,18 @@ def segment(length: int, words: list[tuple[int, int, int]], total: float) -> lis
 
 def segmented_labels(hosts: DataFrame) -> DataFrame:
     """(label, words) of every distinct host label of ``hosts`` (column host, path)."""
-    labels = hosts.select(F.explode(_labels(F.col("host"))).alias("w"))
-    paths = hosts.select(F.explode(F.filter(F.split(F.translate("path", UPPER, LOWER), _CUT), lambda x: (F.length(x) >= 2) & (F.length(x) <= MAX_WORD))).alias("w"))
+    labels = hosts.select("host").distinct().select(F.explode(_labels(F.col("host"))).alias("w"))
+    paths = hosts.select(F.explode(F.filter(F.split(F.translate("path", UPPER, LOWER), _CUT), lambda x: (F.length(x) >= MIN_WORD) & (F.length(x) <= MAX_WORD))).alias("w"))
     seeds = hosts.sparkSession.createDataFrame([(w, SEED_COUNT) for w in SEED_WORDS], "w string, n long")
-    # A label that is seen whole stays whole unless its parts are likelier; its own count is what it competes with.
-    counts = labels.where(F.length("w") <= MAX_WORD).unionByName(paths).groupBy("w").agg(F.count("*").alias("n")).unionByName(seeds).groupBy("w").agg(F.sum("n").alias("n"))
+    counts = labels.where((F.length("w") >= MIN_WORD) & (F.length("w") <= MAX_WORD)).unionByName(paths).groupBy("w").agg(F.count("*").alias("n")).unionByName(seeds).groupBy("w").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 1
     names = labels.distinct().withColumnRenamed("w", "label")
     spans = names.select("label", F.posexplode(F.sequence(F.lit(1), F.length("label"))).alias("p0", "start")).select(
         "label", "start", F.explode(F.sequence(F.col("start"), F.least(F.length("label"), F.col("start") + (MAX_WORD - 1)))).alias("stop")
     )
-    pieces = spans.select("label", (F.col("start") - 1).alias("a"), F.col("stop").alias("b"), F.substr("label", F.col("start"), F.col("stop") - F.col("start") + 1).alias("w")).where("length(w) >= 2")
-    found = pieces.join(counts, "w").groupBy("label").agg(F.collect_list(F.struct("a", "b", "n")).alias("found"))
+    pieces = spans.select("label", (F.col("start") - 1).alias("a"), F.col("stop").alias("b"), F.substr("label", F.col("start"), F.col("stop") - F.col("start") + 1).alias("w")).where(F.length("w") >= MIN_WORD)
+    # A label is no evidence for itself: as one word it must occur elsewhere too.
+    found = pieces.join(counts, "w").withColumn("n", F.col("n") - (F.col("w") == F.col("label")).cast("long")).where("n > 0").groupBy("label").agg(F.collect_list(F.struct("a", "b", "n")).alias("found"))
 
     @F.pandas_udf("array<string>")
     def split(label: pd.Series, found: pd.Series) -> pd.Series:
