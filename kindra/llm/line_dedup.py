@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from kindra.llm.common import NULL_ID, Scratch, blob_list, bounded_batches, chunks, column_of, holding, id_array, mixed, shuffle_width
 
 MIN_DOCS, MIN_CHARS = 3, 20
-HOT_SHARE = 10_000
+HOT_SHARE, HOT_FLOOR = 10_000, 1000
 #: Line references that one shard takes, about.
 SHARD_ROWS = 1 << 19
 
@@ -217,7 +217,7 @@ def dedup_lines(documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: int =
     total = lines.count()
     counted = lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.coalesce(F.max(F.when(F.col("doc") != NULL_ID, F.col("doc"))), F.lit(NULL_ID)).alias("keeper"))
     index = Scratch(counted.where(F.col("n") >= min_docs), "lineindex")
-    floor = max(total // HOT_SHARE, 1000)
+    floor = max(total // HOT_SHARE, HOT_FLOOR)
     hot_rows = index.read().where(F.col("n") > floor).toArrow()  # fewer than HOT_SHARE rows: each holds over total / HOT_SHARE references
     get = lambda c: hot_rows[c].combine_chunks().to_numpy() if hot_rows.num_rows else np.zeros(0, np.int64)
     hot = LineShard.build(get("a").view(np.uint64), get("b").view(np.uint64), get("n"), get("keeper"))
