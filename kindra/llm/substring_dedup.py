@@ -21,8 +21,10 @@ along unless one is named like a result.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,18 +98,23 @@ def representatives(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.
 # --------------------------------------------------------------------------- settling keys
 
 #: Entries that a task gathers before it settles them among themselves and sends the rest.
-GATHERED = 600_000
+GATHERED = 400_000
 _SENT = "shard int, kind int, a binary, b binary, doc binary, place binary"
 #: An entry of this kind needs the shard's answer; an entry of the other kind was settled by the sender.
 OPEN, SETTLED = 0, 1
+_KINDS = (np.uint64, np.uint64, np.int64, np.int32)
 
 
 def _cut_by(shard: np.ndarray, kind: int, columns: list[np.ndarray]) -> Iterator[tuple]:
-    order = np.argsort(shard, kind="stable")
+    """A row for each shard with the entries packed, in the order of their documents: neighbours then compress well."""
+    if len(shard) == 0:
+        return
+    order = np.lexsort((columns[3], columns[2], shard))
     shard, columns = shard[order], [c[order] for c in columns]
-    heads = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else []
+    heads = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    sent = [bool(c.any()) for c in columns[:2]] + [True, bool(columns[3].any())]
     for lo, hi in zip(heads, [*heads[1:], len(shard)], strict=True):
-        yield (int(shard[lo]), kind, *(c[lo:hi].tobytes() for c in columns))
+        yield (int(shard[lo]), kind, *(c[lo:hi].tobytes() if used else b"" for c, used in zip(columns, sent, strict=True)))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -115,71 +122,125 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k < 2 else pa.binary()) for k, c in enumerate(columns)], ["shard", "kind", "a", "b", "doc", "place"])
 
 
+def _unpacked(blobs: tuple[bytes, ...]) -> list[np.ndarray]:
+    """The columns of a row; a column of zeros was sent empty."""
+    columns = [np.frombuffer(x, k) for x, k in zip(blobs, _KINDS, strict=True)]
+    return [c if len(c) else np.zeros(len(columns[2]), k) for c, k in zip(columns, _KINDS, strict=True)]
+
+
 def _groups(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by (a, b, doc), the group of each ordered row, and the place of each group's first row."""
-    order = np.lexsort((doc, b, a))
+    order = np.lexsort((doc, b, a) if b.any() else (doc, a))
     x, y = a[order], b[order]
     new = np.ones(len(order), np.bool_)
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     return order, np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-def _settle(parts: list[list[np.ndarray]], shards: int, losers_only: bool) -> pa.RecordBatch:
+def _settle(parts: list[list[np.ndarray]], shards: int, losers_only: bool) -> Iterator[pa.RecordBatch]:
     """What a task sends: a key's least document goes to the key's shard, what is known already goes to the document's.
 
     Known are, with ``losers_only``, entries whose key a smaller document of the task holds, else all entries whose key two
     of its documents hold."""
     a, b, doc, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+    parts.clear()
     order, group, first = _groups(a, b, doc)
     a, b, doc, place = a[order], b[order], doc[order], place[order]
-    least = doc[first][group]
+    later = doc > doc[first][group]
     lead = np.zeros(len(a), np.bool_)
     lead[first] = True
-    later = doc > least
     shared = later if losers_only else (np.bincount(group, weights=later, minlength=len(first)) > 0)[group]
-    # A losing document's own repeats are each known; the least document's repeats share the key's fate, so each is sent.
-    ask = lead if not losers_only else ~later
-    to_key = (mixed(a[ask] ^ b[ask]) % np.uint64(shards)).astype(np.int32)
+    # Repeats inside the least document share its key's fate, so each of their places is sent.
+    ask = ~later if losers_only else lead
+    to_key = (mixed(a[ask]) % np.uint64(shards)).astype(np.int32)
     to_doc = (mixed(doc[shared].astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
-    rows = [*_cut_by(to_key, OPEN, [c[ask] for c in (a, b, doc, place)]), *_cut_by(to_doc, SETTLED, [c[shared] for c in (a, b, doc, place)])]
-    return _batch(rows)
+    rows = [*_cut_by(to_key, OPEN, [c[ask] for c in (a, b, doc, place)]), *_cut_by(to_doc, SETTLED, [np.zeros_like(c[shared]) if losers_only and k < 2 else c[shared] for k, c in enumerate((a, b, doc, place))])]
+    del a, b, doc, place, order, group
+    for at in range(0, len(rows), 64):
+        yield _batch(rows[at : at + 64])
+    trim()
+
+
+@lru_cache(1)
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    if (libc := _libc()) is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
 
+def _answer(shards: int, losers_only: bool):
+    """A shard's entries of all tasks. Gives what is known as rows (shard, doc, v): documents and, packed beside them, the
+    representatives or, with ``losers_only``, the places that concern them, cut by a hash of the document."""
 
-def _answer(losers_only: bool):
-    """A shard's entries of all tasks: gives (doc, v), the representative or, with ``losers_only``, the place, of what is known."""
+    def told(doc: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        to = (mixed(doc.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+        order = np.lexsort((doc, to))
+        to, doc, value = to[order], doc[order], value[order]
+        heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+        spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(to)], strict=True)) if len(to) else []
+        return pa.RecordBatch.from_arrays([pa.array(to[heads], pa.int32()), *(pa.array([c[lo:hi].tobytes() for lo, hi in spans], pa.binary()) for c in (doc, value))], ["shard", "doc", "v"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: list[list[np.ndarray]] = []
+        known: list[tuple[np.ndarray, np.ndarray]] = []
+        value = (lambda row: row[3]) if losers_only else (lambda row: row[0])
         for batch in batches:
-            known: list[tuple[np.ndarray, np.ndarray]] = []
-            for kind, a, b, doc, place in zip(*(column_of(batch, c).to_pylist() for c in ("kind", "a", "b", "doc", "place")), strict=True):
-                row = [np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), np.frombuffer(doc, np.int64), np.frombuffer(place, np.int32)]
+            for kind, *blobs in zip(*(column_of(batch, c).to_pylist() for c in ("kind", "a", "b", "doc", "place")), strict=True):
+                row = _unpacked(tuple(blobs))
                 if kind == OPEN:
                     opened.append(row)
                 else:
-                    known.append((row[2], row[3].astype(np.int64) if losers_only else row[0].view(np.int64)))
-            if known:
-                yield _said(*(np.concatenate(c) for c in zip(*known, strict=True)))
+                    known.append((row[2], value(row)))
+            if sum(len(k[0]) for k in known) >= GATHERED:
+                yield told(*(np.concatenate(c) for c in zip(*known, strict=True)))
+                known = []
+        if known:
+            yield told(*(np.concatenate(c) for c in zip(*known, strict=True)))
         if opened:
             a, b, doc, place = (np.concatenate(c) for c in zip(*opened, strict=True))
             opened.clear()
             order, group, first = _groups(a, b, doc)
             doc = doc[order]
             later = doc > doc[first][group]
-            told = later if losers_only else (np.bincount(group, weights=later, minlength=len(first)) > 0)[group]
-            yield _said(doc[told], place[order][told].astype(np.int64) if losers_only else a[order][told].view(np.int64))
+            some = later if losers_only else (np.bincount(group, weights=later, minlength=len(first)) > 0)[group]
+            yield told(doc[some], value([a, b, doc, place])[order][some])
+            del a, b, doc, place, order, group
+        trim()
 
     return emit
 
 
-def _said(doc: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    """(doc, values packed): a row for each document of the answer."""
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    ends = np.append(heads[1:], len(doc))
-    blobs = [value[lo:hi].tobytes() for lo, hi in zip(heads.tolist(), ends.tolist(), strict=True)] if len(doc) else []
-    return pa.RecordBatch.from_arrays([pa.array(doc[heads] if len(doc) else doc), pa.array(blobs, pa.binary())], ["_doc", "v"])
+def _by_document(kind: type):
+    """What all shards told of a task's documents: a row (_doc, _marks) for each, its values packed."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[np.ndarray] = []
+        values: list[np.ndarray] = []
+        for batch in batches:
+            docs += [np.frombuffer(x, np.int64) for x in column_of(batch, "doc").to_pylist()]
+            values += [np.frombuffer(x, kind) for x in column_of(batch, "v").to_pylist()]
+        if docs:
+            doc, value = np.concatenate(docs), np.concatenate(values)
+            docs.clear()
+            values.clear()
+            order = np.lexsort((value, doc))
+            doc, value = doc[order], value[order]
+            heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            ends = np.append(heads[1:], len(doc))
+            for at in range(0, len(heads), 4096):
+                lo, hi = heads[at : at + 4096], ends[at : at + 4096]
+                blobs = [np.unique(value[x:y]).tobytes() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[lo]), pa.array(blobs, pa.binary())], ["_doc", "_marks"])
+        trim()
+
+    return emit
 
 
 # --------------------------------------------------------------------------- the operator
@@ -198,23 +259,23 @@ def _send_representatives(window: int, shards: int):
             parts.append([key, np.zeros(len(key), np.uint64), doc, np.zeros(len(key), np.int32)])
             size += len(key)
             if size >= GATHERED:
-                yield _settle(parts, shards, False)
+                yield from _settle(parts, shards, False)
                 parts, size = [], 0
         if parts:
-            yield _settle(parts, shards, False)
+            yield from _settle(parts, shards, False)
 
     return emit
 
 
-def _marked(blobs: list[list[bytes] | None], kind: type) -> list[np.ndarray | None]:
-    return [np.unique(np.concatenate([np.frombuffer(x, kind) for x in b])) if b else None for b in blobs]
+def _marked(blobs: list[bytes | None], kind: type) -> list[np.ndarray | None]:
+    return [np.frombuffer(x, kind) if x else None for x in blobs]
 
 
 def _send_windows(window: int, shards: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in chunks(batches):
-            marks = _marked(column_of(batch, "marks").to_pylist(), np.uint64)
+            marks = _marked(column_of(batch, "_marks").to_pylist(), np.uint64)
             words = words_of(blob_list(column_of(batch, "text")), 2)
             at, key = representatives(words, window)
             full = gram_hash(words.hashes[1], window, 1)
@@ -229,10 +290,10 @@ def _send_windows(window: int, shards: int):
                 parts.append([keys[hit], full[place], np.full(len(place), ids[d]), (place - words.first[d]).astype(np.int32)])
                 size += len(place)
                 if size >= GATHERED:
-                    yield _settle(parts, shards, True)
+                    yield from _settle(parts, shards, True)
                     parts, size = [], 0
         if parts:
-            yield _settle(parts, shards, True)
+            yield from _settle(parts, shards, True)
 
     return emit
 
@@ -241,7 +302,7 @@ def _remove(carried: list[str], window: int, with_text: bool, schema: pa.Schema)
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             kept, n_words, n_removed = [], [], []
-            for text, places in zip(blob_list(column_of(batch, "text")), _marked(column_of(batch, "marks").to_pylist(), np.int64), strict=True):
+            for text, places in zip(blob_list(column_of(batch, "text")), _marked(column_of(batch, "_marks").to_pylist(), np.int32), strict=True):
                 words = (text or b"").split()
                 n_words.append(len(words))
                 if places is not None:
@@ -259,17 +320,23 @@ def _remove(carried: list[str], window: int, with_text: bool, schema: pa.Schema)
     return emit
 
 
+def _told(sent: DataFrame, shards: int, losers_only: bool) -> DataFrame:
+    """(_doc, _marks) of what the shards know of the entries sent."""
+    answers = sent.repartitionById(shards, F.col("shard")).mapInArrow(_answer(shards, losers_only), "shard int, doc binary, v binary")
+    return answers.repartitionById(shards, F.col("shard")).mapInArrow(_by_document(np.int32 if losers_only else np.uint64), "_doc long, _marks binary")
+
+
 def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """The rows of ``documents`` with n_words, n_removed, kept_text (with ``keep_text``: the words left, one space apart) and
     kept_sha256. Without ``keep_text`` doc_id and the figures alone are returned."""
-    shards = 2 * shuffle_width(bounded_batches(documents).sparkSession)
+    shards = shuffle_width(bounded_batches(documents).sparkSession)
     carried = [c for c in documents.columns if c not in ("n_words", "n_removed", "kept_text", "kept_sha256")] if keep_text else ["doc_id"]
     rows = documents.select(*dict.fromkeys([*carried, "doc_id", "text"])).withColumn("_doc", F.coalesce("doc_id", F.lit(NULL_ID)))
     sent = rows.select("_doc", "text").mapInArrow(_send_representatives(window, shards), _SENT)
-    shared = sent.repartitionById(shards, F.col("shard")).mapInArrow(_answer(False), "_doc long, v binary").groupBy("_doc").agg(F.collect_list("v").alias("marks"))
+    shared = _told(sent, shards, False)
     # The same columns as in the last step, so that one exchange of the texts serves both.
     asked = rows.join(shared.hint("shuffle_hash"), "_doc").mapInArrow(_send_windows(window, shards), _SENT)
-    lost = asked.repartitionById(shards, F.col("shard")).mapInArrow(_answer(True), "_doc long, v binary").groupBy("_doc").agg(F.collect_list("v").alias("marks"))
+    lost = _told(asked, shards, True)
     added = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), *([("kept_text", pa.string())] if keep_text else []), ("kept_sha256", pa.string())])
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in carried]
     fields = ", ".join([*own, *(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in added)])
