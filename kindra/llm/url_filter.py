@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindra.llm.common import bounded_batches, column_of
+from kindra.llm.common import bounded_batches, column_of, shuffle_width
 
 #: (host, path, verdict): fits the host and its subdomains where the path starts with the rule's; the longest wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -31,6 +31,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 SEED_WORDS = ("ads", "bets", "casino", "cheap", "clickbait", "farm", "free", "loan", "pills", "poker", "porn", "spam", "track", "viagra", "xxx")
 SEED_COUNT = 5
 BUCKETS, MIN_WORD, MAX_WORD = 1 << 16, 3, 20
+#: Shares of the pages, by shuffle partition, above which a host is dealt out.
+HOT_PARTS = 4
 #: Added to every count: little, as most buckets never occur.
 SMOOTHING = 0.01
 #: Code points of a label that are segmented at once; longer labels are cut there first.
@@ -132,6 +134,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[0][at], pages[0])), pa.array(np.append(counts[1][at], pages[1]))], ["bucket", "allow", "block"])
 
 
+def _joined_by_host(urls: DataFrame, by_host: DataFrame) -> DataFrame:
+    """Left join on host. A host with more pages than 1 / HOT_PARTS of a partition's share is dealt to several places; fewer than
+    HOT_PARTS hosts a partition can have that, and their places add up to less than twice as many, whatever the input."""
+    parts = HOT_PARTS * shuffle_width(urls.sparkSession)
+    counts = urls.groupBy("host").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = counts.where(F.col("n") * parts > total).select("host", F.ceil(F.col("n") * parts / max(total, 1)).cast("int").alias("places"))
+    hot = F.broadcast(hot)
+    dealt = urls.join(hot, "host", "left").withColumn("place", F.pmod(F.xxhash64("page_id", "path"), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
+    copied = by_host.join(hot, "host", "left").withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1))).drop("places")
+    return dealt.join(copied, ["host", "place"], "left")
+
+
 def filter_urls(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict and host_words of every page."""
     host, path = host_and_path(F.col("url"))
@@ -141,7 +156,7 @@ def filter_urls(pages: DataFrame) -> DataFrame:
     hosts = urls.select("host").distinct()
     placed = hosts.select("host", F.posexplode(_labels(F.col("host"))).alias("i", "label")).join(words, "label")
     by_host = placed.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("words"))
-    rows = urls.join(by_host, "host", "left").select("page_id", "host", "path", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    rows = _joined_by_host(urls, by_host).select("page_id", "host", "path", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
     found = rows.select("words", "path").mapInArrow(_counted, "bucket long, allow long, block long").groupBy("bucket").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
     counts, prior = np.full((2, BUCKETS), SMOOTHING), [1.0, 1.0]
     for r in found:  # BUCKETS rows at most, and the numbers of pages
