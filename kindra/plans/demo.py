@@ -560,3 +560,74 @@ def parse_id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit(" "), "s_name", F.lit(", "), "s_name", F.lit(" ,, "), F.col("s_nationkey").cast("string"))
     ids = tables.parse_id_list(text)
     return read(spark, sf_dir, "supplier").select("s_suppkey", F.get(ids, F.lit(0)).alias("first_id"), F.size(ids).cast("int").alias("n_ids"))
+
+
+# --------------------------------------------------------------------------- pair tables and whole matchers
+
+
+@query(PAIRS + ", t AS (SELECT DISTINCT s1_id, c_id FROM pairs WHERE label AND c_id % 2 = 0) SELECT p.s1_id, p.c_id, t.c_id IS NOT NULL AS label FROM pairs p LEFT JOIN t ON p.s1_id = t.s1_id AND p.c_id = t.c_id WHERE p.prob >= 0.5e0")
+def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pairs(spark, sf_dir)
+    return evaluation.with_labels(p.where("prob >= 0.5").select("s1_id", "c_id"), p.where("label AND c_id % 2 = 0"))
+
+
+@query(PAIRS + "SELECT o_orderkey AS s1_id, coalesce(n, 0) AS n_true FROM orders LEFT JOIN (SELECT s1_id, count(*) AS n FROM pairs WHERE label GROUP BY 1) ON s1_id = o_orderkey")
+def true_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.true_counts(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1_id")), pairs(spark, sf_dir).where("label"))
+
+
+@query(PAIRS + "SELECT s1_id, c_id FROM (SELECT s1_id, c_id, row_number() OVER (PARTITION BY s1_id, c_id % 2 ORDER BY prob DESC, c_id) AS i FROM pairs) WHERE i <= 2")
+def source_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.best_per_source(pairs(spark, sf_dir).withColumn("source", F.col("c_id") % 2), "prob", 2).select("s1_id", "c_id")
+
+
+@query(f"WITH {_tfidf_sql(WORD_SQL, 'tf')}, p AS (SELECT item_id AS s1_id, doc_id AS c_id FROM benchmark JOIN documents ON doc_id % 40 = item_id) SELECT p.s1_id, p.c_id, round(coalesce(score, 0e0), 6) AS cosine FROM p LEFT JOIN tf ON tf.s1_id = p.s1_id AND tf.c_id = p.c_id")
+def pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindra.operators import features
+
+    q, d = _texts(spark, sf_dir)
+    spaces = features.tfidf_spaces(q, d, F.col("text"), vectors.word_terms, 2)
+    p = q.join(d, F.col("s1_id") == F.col("c_id") % 40).select("s1_id", "c_id")
+    return rounded(features.pair_cosine(p, spaces, "cosine"))
+
+
+def _document_records(spark: SparkSession, sf_dir: str) -> tables.Split:
+    """Even documents as primary records, odd ones as the two other sources; the opening words serve as name and address."""
+    d = read(spark, sf_dir, "documents").withColumn("t", F.regexp_replace("text", r"\s+", " "))
+    record = [F.substring("t", 1, 60).alias("business_name"), F.substring("t", 61, 120).alias("business_address"), F.col("lang").alias("country")]
+    s1 = d.where("doc_id % 2 = 0").select(F.concat(F.lit("S1-"), F.col("doc_id").cast("string")).alias("entity_id"), *record, F.lit("S1").alias("source"))
+    source = F.when(F.col("doc_id") % 4 == 1, F.lit("S2")).otherwise(F.lit("S3"))
+    s23 = d.where("doc_id % 2 = 1").select(F.concat_ws("-", source, F.col("doc_id").cast("string")).alias("entity_id"), *record, source.alias("source"))
+    return tables.Split("documents", s1, s23, None)
+
+
+@query()
+def normalized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindra.functions.normalize import normalize_records
+
+    return normalize_records(_document_records(spark, sf_dir).s1)
+
+
+@query()
+def rule_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindra.plans.methods import RuleMethod
+
+    method = RuleMethod()
+    return rounded(method.predict(decisions.RuleParams(), method.build_pairs(_document_records(spark, sf_dir))).where("selected").select("s1_id", "c_id", "score"))
+
+
+@query()
+def near_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindra.plans.methods import ScoreMethod
+
+    method = ScoreMethod()
+    return rounded(method.predict(decisions.ScoreParams(), method.build_pairs(_document_records(spark, sf_dir))).where("selected").select("s1_id", "c_id", "score"))
+
+
+@query()
+def boosted_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindra.operators.features import feature_names
+    from kindra.plans.methods import BoostMethod
+
+    df = BoostMethod().build_pairs(_document_records(spark, sf_dir))
+    return rounded(df.select("s1_id", "c_id", *feature_names(df)))
