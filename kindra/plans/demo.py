@@ -581,7 +581,7 @@ def source_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.best_per_source(pairs(spark, sf_dir).withColumn("source", F.col("c_id") % 2), "prob", 2).select("s1_id", "c_id")
 
 
-@query(f"WITH {_tfidf_sql(WORD_SQL, 'tf')}, p AS (SELECT item_id AS s1_id, doc_id AS c_id FROM benchmark JOIN documents ON doc_id % 40 = item_id) SELECT p.s1_id, p.c_id, round(coalesce(score, 0e0), 6) AS cosine FROM p LEFT JOIN tf ON tf.s1_id = p.s1_id AND tf.c_id = p.c_id")
+@query(f"WITH {_tfidf_sql(WORD_SQL, 'tf')}, p AS (SELECT item_id AS s1_id, doc_id AS c_id FROM benchmark JOIN documents ON doc_id % 40 = item_id) SELECT p.s1_id, p.c_id, CASE WHEN q.id IS NOT NULL AND d.id IS NOT NULL THEN round(coalesce(score, 0e0), 6) END AS cosine FROM p LEFT JOIN tf ON tf.s1_id = p.s1_id AND tf.c_id = p.c_id LEFT JOIN (SELECT DISTINCT id FROM tf_w WHERE side = 'q') q ON q.id = p.s1_id LEFT JOIN (SELECT DISTINCT id FROM tf_w WHERE side = 'd') d ON d.id = p.c_id")
 def pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindra.operators import features
 
