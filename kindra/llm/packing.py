@@ -98,8 +98,9 @@ class PieceEncoder:
         if ids is None:
             stem = piece.rstrip(_MARKS)
             if not stem or len(stem) == len(piece) or not stem[-1:].isalnum():
-                return self._part(piece)
-            ids = self._part(stem) + self._part(piece[len(stem) :])
+                ids = self._fresh(piece)
+            else:
+                ids = self._part(stem) + self._part(piece[len(stem) :])
         return self._kept(piece, ids)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
