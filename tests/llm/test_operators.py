@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kindra.llm import decontaminate, language_id, line_dedup, packing, quality_model, quality_rules, simhash, substring_dedup, token_counts, url_filter
+from kindra.llm import decontaminate, jaccard, language_id, line_dedup, packing, quality_model, quality_rules, simhash, substring_dedup, token_counts, url_filter
 from kindra.llm.queries import QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -204,6 +204,50 @@ def test_every_link_is_found(spark, monkeypatch, block):
         assert {i: roots.get(i, i) for i in range(300)} == want
 
 
+def brute_jaccard(texts, least=0.8):
+    """Classes of the documents by five-word Jaccard similarity, all pairs compared."""
+    grams = {}
+    for i, t in texts.items():
+        w = WORD.findall(lower(t))
+        grams[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(texts)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            both, either = len(grams[i] & grams[j]), len(grams[i] | grams[j])
+            if not either or 10 * both >= 10 * least * either:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("small", [1, 32])
+def test_near_duplicate_stage_drops_all_similar_texts(spark, docs, monkeypatch, small):
+    """Copies with 1 to 30 edits of 300 words, some over and some under 0.8; many of them are further apart than 4 bits."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    rng, texts = random.Random(3), {}
+    for base in range(8):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for copy in range(6):
+            own = list(words)
+            for _ in range(0 if copy == 0 else rng.choice([1, 3, 5, 7, 9, 30])):
+                own[rng.randrange(300)] = f"e{rng.randrange(10**6)}"
+            texts[base * 10 + copy] = " ".join(own)
+    texts |= {1000 + i: t for i, t, *_ in corpus() if i is not None}
+    classes = brute_jaccard(texts)
+    fps = {i: brute_fingerprint(t) for i, t in texts.items() if i < 1000}
+    assert any(classes[i] != i and (fps[i] ^ fps[classes[i]]).bit_count() > 4 for i in fps) and any(classes[i] == i and i % 10 for i in fps)
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], SCHEMA).repartition(3)
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in texts if classes[i] == i)
+
+
 # --------------------------------------------------------------------------- quality rules
 
 
