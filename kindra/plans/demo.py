@@ -350,14 +350,19 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.dense_top_k(q, d, 10))
 
 
+def _nearest_others(v: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all other rows to every fiftieth row of (vec_id, source, vector); one more is asked for, as a row finds itself."""
+    q, d = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("s1_id"), "vector"), v.select(F.col("vec_id").alias("c_id"), "source", "vector")
+    found = retrieval.dense_top_k(q, d, k + 1).where("s1_id <> c_id")
+    order = Window.partitionBy("s1_id", "source").orderBy("rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 @query()
 def dense_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("long").alias("source"), F.col("embedding").alias("vector"))
     low = vectors.random_projection(v, "vec_id", "vector", 32).join(v.select("vec_id", "source"), "vec_id")
-    hits = {}
-    for name, df in (("name", v), ("addr", low)):
-        df = df.withColumn("vector", vectors.unit(F.col("vector")))
-        hits[name] = retrieval.dense_top_k(df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("s1_id"), "vector"), df.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("c_id"), "source", "vector"), 15)
+    hits = {name: _nearest_others(df.withColumn("vector", vectors.unit(F.col("vector"))), 15) for name, df in (("name", v), ("addr", low))}
     return rounded(retrieval.fuse_dense(hits))
 
 
