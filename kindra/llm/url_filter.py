@@ -4,7 +4,8 @@ Host names run words together. A label (what stands between dots and hyphens) is
 labels and path parts that occur in the URLs, with their counts over all distinct hosts and all paths, and the seed words; a label's substrings
 are joined with the word counts, so no word list is sent around. The tokens of a URL are the words of its host and of its
 path. Multinomial naive Bayes over them is trained on all pages by weak labels: a page is a block example if its host's
-words include a seed word, else an allow example. Tokens are hashed to ``BUCKETS`` counts, so the model has one size.
+words include a seed word, else an allow example. Tokens are counted as they are, in a table, and distinct hosts and
+paths are joined with the log ratios of their tokens; no table is sent around, and frequent keys are dealt out.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; empty
 labels have no words; repeated pages are judged one by one; other columns are ignored.
@@ -14,26 +15,23 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kindra.llm.common import bounded_batches, column_of, shuffle_width
+from kindra.llm.common import Scratch, bounded_batches, shuffle_width
 
 #: (host, path, verdict): fits the host and its subdomains where the path starts with the rule's; the longest wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Words that mark unwanted hosts: the weak labels of the training pages.
 SEED_WORDS = ("ads", "bets", "casino", "cheap", "clickbait", "farm", "free", "loan", "pills", "poker", "porn", "spam", "track", "viagra", "xxx")
 SEED_COUNT = 5
-BUCKETS, MIN_WORD, MAX_WORD = 1 << 16, 3, 20
-#: Shares of the pages, by shuffle partition, above which a host is dealt out.
+MIN_WORD, MAX_WORD = 3, 20
+#: Shares of the rows, by shuffle partition, above which a host, path or token is dealt out.
 HOT_PARTS = 4
-#: Added to every count: little, as most buckets never occur.
+#: Added to the count of every token that occurs.
 SMOOTHING = 0.01
 #: Code points of a label that are segmented at once; longer labels are cut there first.
 MAX_LABEL = 63
@@ -113,38 +111,42 @@ def segmented_labels(hosts: DataFrame) -> DataFrame:
     return names.join(found, "label", "left").select("label", split("label", "found").alias("words"))
 
 
-def _bucket(token: str) -> int:
-    return xxhash.xxh64_intdigest(token.encode()) & (BUCKETS - 1)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _path_tokens(path: pd.Series) -> pd.Series:
+    return pd.Series([["p:" + p for p in re.split(r"[^\w]+", x.lower()) if p and not p.isdigit()] for x in path])
 
 
-def _tokens(words: list[str] | None, path: str) -> list[int]:
-    parts = [p for p in re.split(r"[^\w]+", path.lower()) if p and not p.isdigit()]
-    return [_bucket("h:" + w) for w in words or ()] + [_bucket("p:" + p) for p in parts]
+def _joined(rows: DataFrame, by: DataFrame, key: str, *other: str) -> DataFrame:
+    """Left join on ``key``, of which ``by`` has each once. A key with more rows than 1 / HOT_PARTS of a partition's share is dealt to
+    several places by the ``other`` columns; fewer than HOT_PARTS keys a partition can have that, and their places add up to
+    less than twice as many, whatever the input."""
+    parts = HOT_PARTS * shuffle_width(rows.sparkSession)
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = counts.where(F.col("n") * parts > total).select(key, F.ceil(F.col("n") * parts / max(total, 1)).cast("int").alias("places"))
+    hot = F.broadcast(hot)
+    dealt = rows.join(hot, key, "left").withColumn("place", F.pmod(F.xxhash64(*other), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
+    copied = by.join(hot, key, "left").withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1))).drop("places")
+    return dealt.join(copied, [key, "place"], "left").drop("place")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token counts of block and allow examples, a row for each bucket that occurs."""
-    counts, pages, seeds = np.zeros((2, BUCKETS), np.int64), [0, 0], set(SEED_WORDS)
-    for batch in batches:
-        for words, path in zip(column_of(batch, "words").to_pylist(), column_of(batch, "path").to_pylist(), strict=True):
-            block = int(bool(seeds.intersection(words or ())))
-            pages[block] += 1
-            np.add.at(counts[block], _tokens(words, path), 1)
-    at = np.flatnonzero(counts.any(0))
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[0][at], pages[0])), pa.array(np.append(counts[1][at], pages[1]))], ["bucket", "allow", "block"])
+def _token_weights(by_host: DataFrame, by_path: DataFrame, pages: DataFrame) -> tuple[DataFrame, float]:
+    """(token, weight), the log ratio of each token that occurs, and that of the pages. ``pages`` has n of each (host, path, block)."""
+    of_hosts = pages.groupBy("host", "block").agg(F.sum("n").alias("n")).join(by_host, "host").select("block", "n", F.explode("tokens").alias("token"))
+    of_paths = pages.groupBy("path", "block").agg(F.sum("n").alias("n")).join(by_path, "path").select("block", "n", F.explode("tokens").alias("token"))
+    own = lambda block: F.sum(F.when(F.col("block") == block, F.col("n")).otherwise(0))
+    both = (own(False).alias("allow"), own(True).alias("block"))
+    counts = of_hosts.unionByName(of_paths).groupBy("token").agg(*both)
+    counts = Scratch(counts, "url_tokens").keep()
+    n = counts.agg(F.count("*").alias("size"), F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
+    prior = pages.agg(*both).first()
+    share = lambda c: (F.col(c) + SMOOTHING) / ((n[c] or 0) + SMOOTHING * max(n["size"], 1))
+    return counts.select("token", F.log(share("block") / share("allow")).alias("weight")), math.log((1.0 + (prior["block"] or 0)) / (1.0 + (prior["allow"] or 0)))
 
 
-def _joined_by_host(urls: DataFrame, by_host: DataFrame) -> DataFrame:
-    """Left join on host. A host with more pages than 1 / HOT_PARTS of a partition's share is dealt to several places; fewer than
-    HOT_PARTS hosts a partition can have that, and their places add up to less than twice as many, whatever the input."""
-    parts = HOT_PARTS * shuffle_width(urls.sparkSession)
-    counts = urls.groupBy("host").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    hot = counts.where(F.col("n") * parts > total).select("host", F.ceil(F.col("n") * parts / max(total, 1)).cast("int").alias("places"))
-    hot = F.broadcast(hot)
-    dealt = urls.join(hot, "host", "left").withColumn("place", F.pmod(F.xxhash64("page_id", "path"), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
-    copied = by_host.join(hot, "host", "left").withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1))).drop("places")
-    return dealt.join(copied, ["host", "place"], "left")
+def _weighed(by: DataFrame, key: str, weights: DataFrame) -> DataFrame:
+    """(key, sum of the weights of its tokens); keys without tokens are left out."""
+    return _joined(by.select(key, F.explode("tokens").alias("token")), weights, "token", key).groupBy(key).agg(F.sum("weight").alias(f"{key}_weight"))
 
 
 def filter_urls(pages: DataFrame) -> DataFrame:
@@ -156,22 +158,20 @@ def filter_urls(pages: DataFrame) -> DataFrame:
     hosts = urls.select("host").distinct()
     placed = hosts.select("host", F.posexplode(_labels(F.col("host"))).alias("i", "label")).join(words, "label")
     by_host = placed.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("words"))
-    rows = _joined_by_host(urls, by_host).select("page_id", "host", "path", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
-    found = rows.select("words", "path").mapInArrow(_counted, "bucket long, allow long, block long").groupBy("bucket").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
-    counts, prior = np.full((2, BUCKETS), SMOOTHING), [1.0, 1.0]
-    for r in found:  # BUCKETS rows at most, and the numbers of pages
-        if r.bucket < 0:
-            prior = [1.0 + r.allow, 1.0 + r.block]
-        else:
-            counts[0, r.bucket] += r.allow
-            counts[1, r.bucket] += r.block
-    weights = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    bias = math.log(prior[1] / prior[0])
-
-    @F.pandas_udf("boolean")
-    def blocks(words: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([bias + float(weights[_tokens(list(w), p)].sum()) > 0 if len(w) else False for w, p in zip(words, path, strict=True)])
+    by_host = by_host.select("host", "words", F.transform("words", lambda w: F.concat(F.lit("h:"), w)).alias("tokens"), F.arrays_overlap("words", F.lit(list(SEED_WORDS))).alias("block"))
+    by_host = Scratch(by_host, "url_hosts").keep()
+    by_path = Scratch(urls.select("path").distinct().withColumn("tokens", _path_tokens("path")), "url_paths").keep()
+    # Distinct (host, path) with their numbers of pages, so a page's label is joined to fewer rows.
+    places = urls.groupBy("host", "path").agg(F.count("*").alias("n"))
+    pages_of = Scratch(_joined(places, by_host.select("host", "block"), "host", "path").withColumn("block", F.coalesce("block", F.lit(False))), "url_places").keep()
+    weights, bias = _token_weights(by_host.select("host", "tokens"), by_path, pages_of)
+    hosts_weighed = by_host.select("host", "words").join(_weighed(by_host, "host", weights), "host", "left")
+    rows = _joined(urls, hosts_weighed, "host", "page_id", "path")
+    rows = _joined(rows, _weighed(by_path, "path", weights), "path", "page_id", "host")
+    rows = rows.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    score = F.round(F.lit(bias) + F.coalesce("host_weight", F.lit(0.0)) + F.coalesce("path_weight", F.lit(0.0)), 9)
+    blocks = (F.size("words") > 0) & (score > 0)
 
     rule, verdict = rule_and_verdict(F.col("host"), F.col("path"))
-    judged = F.when(blocks("words", "path"), "block").otherwise("allow")
+    judged = F.when(blocks, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, judged).alias("verdict"), F.col("words").alias("host_words"))

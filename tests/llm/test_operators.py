@@ -451,6 +451,16 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.where("false")).count() == 0
 
 
+def test_url_tokens_do_not_share_counts(spark):
+    """Two path tokens with equal 16-bit hashes: one on block pages, the other on allow pages."""
+    seen, word = {}, 0
+    while (other := seen.setdefault(xxhash.xxh64_intdigest(f"p:w{word}x") & 0xFFFF, f"w{word}x")) == f"w{word}x":
+        word += 1
+    urls = [(i, f"http://spam.mark.org/{other}") for i in range(50)] + [(100 + i, f"http://mark.org/w{word}x") for i in range(60)] + [(200, f"http://mark.org/{other}")]
+    rows = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    assert rows[200] == rows[0] == "block" and rows[100] == "allow"
+
+
 def test_segmentation_is_the_likeliest():
     assert url_filter.segment(9, [(0, 5, 9), (5, 9, 9), (0, 2, 1)], 100.0) == [(0, 5), (5, 9)]
     assert url_filter.segment(3, [], 100.0) == [(0, 3)]
