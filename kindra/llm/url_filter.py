@@ -33,8 +33,6 @@ MIN_WORD, MAX_WORD = 3, 20
 HOT_PARTS = 4
 #: Added to the count of every token that occurs.
 SMOOTHING = 0.01
-#: Code points of a label that are segmented at once; longer labels are cut there first.
-MAX_LABEL = 63
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CUT = r"[^\p{L}\p{N}]+"
 
@@ -58,9 +56,7 @@ def rule_and_verdict(host: Column, path: Column) -> tuple[Column, Column]:
 
 
 def _labels(host: Column) -> Column:
-    """Host labels, cut at ``MAX_LABEL`` code points."""
-    parts = F.filter(F.split(host, _CUT), lambda x: x != "")
-    return F.flatten(F.transform(parts, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / MAX_LABEL)), lambda i: F.substr(x, (i * MAX_LABEL + 1).cast("int"), F.lit(MAX_LABEL)))))
+    return F.filter(F.split(host, _CUT), lambda x: x != "")
 
 
 def segment(length: int, words: list[tuple[int, int, int]], total: float) -> list[tuple[int, int]]:

@@ -461,6 +461,12 @@ def test_url_tokens_do_not_share_counts(spark):
     assert rows[200] == rows[0] == "block" and rows[100] == "allow"
 
 
+def test_a_word_over_the_63rd_code_point_is_found(spark):
+    """Sixty letters, then a seed word over the former border, in one label."""
+    rows = url_filter.filter_urls(spark.createDataFrame([(1, "http://" + "q" * 60 + "casino.org/a")], "page_id long, url string")).collect()
+    assert rows[0].host_words == ["q" * 60, "casino", "org"]
+
+
 def test_segmentation_is_the_likeliest():
     assert url_filter.segment(9, [(0, 5, 9), (5, 9, 9), (0, 2, 1)], 100.0) == [(0, 5), (5, 9)]
     assert url_filter.segment(3, [], 100.0) == [(0, 3)]
