@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder under the warehouse where none is set (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    """The cluster's shared checkpoint folder. Where none is set, a folder under the warehouse serves on a single machine
+    (tests); elsewhere that could be a folder of one machine, so it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return base.rstrip("/")
 
 
@@ -78,7 +84,7 @@ class Scratch:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def keep(self) -> DataFrame:
-        """What was written, for as long as the application runs or ``release_scratch`` isn't called."""
+        """What was written, for as long as the application runs or until ``drop_scratch``."""
         return holding(self.read(), self)
 
     def drop(self) -> None:
@@ -94,9 +100,14 @@ def holding(df: DataFrame, *scratches: Scratch) -> DataFrame:
 _KEPT: list[Scratch] = []
 
 
-def release_scratch() -> None:
-    """Drops every scratch table of results that have already been written elsewhere."""
-    while _KEPT:
+def kept_scratch() -> int:
+    """A mark for ``drop_scratch``."""
+    return len(_KEPT)
+
+
+def drop_scratch(mark: int = 0) -> None:
+    """Drops the scratch tables kept since ``mark``, for results that have been written elsewhere."""
+    while len(_KEPT) > mark:
         _KEPT.pop().drop()
 
 
@@ -131,6 +142,36 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
             at = stop
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], key: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Stretches of whole groups of rows that are sorted by ``key`` (the first columns): a group never spans two of them."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        rows = [column_of(batch, c).to_numpy(zero_copy_only=False) for c in columns]
+        if len(rows[0]) == 0:
+            continue
+        same = np.ones(len(rows[0]), np.bool_)
+        for c in rows[: len(key)]:
+            same &= c == c[-1]
+        last = int(np.argmax(same))  # where the last group starts
+        if last == 0 and held and all(h[-1] == c[0] for h, c in zip(held[-1][: len(key)], rows, strict=False)):
+            held.append(rows)
+            continue
+        yield [np.concatenate(c) for c in zip(*held, [r[:last] for r in rows], strict=True)]
+        held = [[r[last:] for r in rows]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def heads_of(columns: list[np.ndarray]) -> np.ndarray:
+    """Where the groups of equal values in sorted columns start, and the end."""
+    n = len(columns[0])
+    new = np.zeros(n, np.bool_)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), n)
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -140,6 +181,32 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def spread_text(text: F.Column, chars: int, windows: int = 10) -> F.Column:
+    """The text; of one over ``chars`` characters, ``windows`` stretches spread evenly over the whole of it, a line break apart.
+    Fits read texts so: none is left out for its length, and none outgrows the bound."""
+    size = chars // windows
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substr(text, (i * (F.length(text) - size) / (windows - 1)).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(pieces, "\n"))
+
+
+def labelled_texts(documents: DataFrame, labels: DataFrame, per_label: int, chars: int, salt: str, unseen: bool = False) -> tuple[list[bytes], list[bytes]]:
+    """Texts of label 0 and of label 1: of at most ``per_label`` documents of each, drawn by a hash among the rows that are not
+    held out (with ``unseen``: that are) and have a word. Documents with labels that differ are left out.
+
+    Only ids meet the labels; the texts of those chosen, a bounded number, are fetched afterwards."""
+    some = labels.where(held_out() if unseen else ~held_out()).where("quality IN (0, 1) AND doc_id IS NOT NULL")
+    known = some.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
+    present = documents.where(F.col("text").rlike(r"[^\x09-\x0D ]")).select("doc_id").distinct().join(known, "doc_id")
+    draw = F.xxhash64("doc_id", F.lit(salt))
+    chosen = present.where("quality = 0").orderBy(draw, "doc_id").limit(per_label).unionByName(present.where("quality = 1").orderBy(draw, "doc_id").limit(per_label))
+    texts = documents.select("doc_id", spread_text(F.col("text"), chars).alias("text")).join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id")
+    out: tuple[list[bytes], list[bytes]] = [], []
+    for r in texts.orderBy(draw, "doc_id", "text").limit(4 * per_label).collect():
+        if r.text and not r.text.isspace():
+            out[r.quality].append(r.text.encode())
+    return out
+
+
 # --------------------------------------------------------------------------- word hashes
 
 
@@ -154,8 +221,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 mixed: Callable[[np.ndarray], np.ndarray] = _mixed
 _RNG = np.random.default_rng(20240607)
-_BYTE_KEYS = _RNG.integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = _RNG.integers(0, 2**62, 2, dtype=np.uint64) * np.uint64(4) + np.uint64(3)
+#: By seed: what a word's length and its eight-byte lanes are multiplied by.
+_LENGTH_KEYS, _LANE_KEYS = _RNG.integers(0, 2**63, (2, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Longer words are hashed one by one.
+LANE_BYTES = 64
 _GRAM_KEYS = _RNG.integers(0, 2**63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -175,21 +244,30 @@ class Words:
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: int) -> list[np.ndarray]:
-    """``seeds`` independent 64-bit hashes of each span of bytes; spans are in order, not empty, and don't overlap."""
+    """``seeds`` independent 64-bit hashes of each span of bytes; spans are not empty.
+
+    A span is taken in lanes of eight bytes, each mixed into the state of those before it, so no sum or polynomial over the
+    bytes can cancel; spans over ``LANE_BYTES`` take xxh3."""
     if len(starts) == 0:
         return [np.zeros(0, np.uint64)] * seeds
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(raw),), "<u8", buffer=padded, strides=(1,))
     lengths = ends - starts
-    heads = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
-    letters = raw[place + np.repeat(starts, lengths)]
-    longest, out = int(lengths.max()), []
-    for seed in range(seeds):
-        power = np.full(longest, _BASES[seed], np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        total = np.add.reduceat(_BYTE_KEYS[seed][letters] * power[place], heads)
-        out.append(_mixed(total + lengths.astype(np.uint64) * _BYTE_KEYS[seed][0]))
-    return out
+    state = [_mixed(lengths.astype(np.uint64) * _LENGTH_KEYS[seed]) for seed in range(seeds)]
+    live = np.flatnonzero(lengths <= LANE_BYTES)
+    at = 0
+    while len(live):
+        left = np.minimum(lengths[live] - at, 8).astype(np.uint64)
+        lane = lanes[starts[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        for seed in range(seeds):
+            state[seed][live] = _mixed(state[seed][live] ^ _mixed(lane * _LANE_KEYS[seed] + _LENGTH_KEYS[seed]))
+        at += 8
+        live = live[lengths[live] > at]
+    for i in np.flatnonzero(lengths > LANE_BYTES).tolist():
+        span = raw[starts[i] : ends[i]].tobytes()
+        for seed in range(seeds):
+            state[seed][i] = xxhash.xxh3_64_intdigest(span, seed + 1)
+    return state
 
 
 def words_of(texts: list[bytes | None], seeds: int = 1) -> Words:

@@ -1,16 +1,20 @@
 """Quality rules: text statistics, and a linear-chain conditional random field that marks lines as content or boilerplate.
 
-The field has two states a line, linear emission scores of line features, and transition scores. It is fitted by gradient
-steps on the log-likelihood of labelled documents, whose lines all take their document's label. Viterbi decoding labels
-the lines of a whole text; the share of word characters in content lines decides retention.
+The field has two states a line, linear emission scores of line features, and transition scores. Labels mark documents,
+so lines with both labels in one text are made by splicing: half of the training sequences are runs of lines of one
+labelled document, the others alternate runs of clean and of junk documents, and each line has the label of the document
+it comes from. The field is fitted by gradient steps on their log-likelihood. Viterbi decoding labels the lines of a whole
+text; the share of word characters in content lines decides retention.
 
 Defined results: a null or wordless text has no words and fails the base rules; a document fails them with fewer than
-``MIN_WORDS`` words or over ``MAX_REPEAT`` percent of them in repeated windows; repeated rows are judged one by one;
-other columns are carried along unless one is named like a result. Without labels of both kinds every line is content.
+``MIN_WORDS`` words or over ``MAX_REPEAT`` percent of them in repeated windows; ties in decoding go to content; texts of
+any length are judged whole; repeated rows are judged one by one; other columns are carried along unless one is named like
+a result. Without labelled texts of both kinds nothing can be learned: every line is content, and a warning says so.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindra.llm.common import Words, blob_list, bounded_batches, chunks, column_of, gram_hash, gram_places, held_out, mixed, words_of
+from kindra.llm.common import Words, blob_list, bounded_batches, chunks, column_of, gram_hash, gram_places, labelled_texts, mixed, words_of
 
 MIN_WORDS, MAX_REPEAT, REPEAT_WINDOW = 10, 20, 5
 #: Share of word characters that content lines must have.
 CONTENT_SHARE = 0.5
-#: Bounds of the fit: labelled documents taken (least hash of doc_id first), and the length up to which one is taken.
-FIT_DOCUMENTS, FIT_CHARS, FIT_STEPS = 1200, 20_000, 120
+#: Bounds of the fit: documents of each label (least hash of doc_id first), characters of each (windows spread over the whole
+#: text of a longer one), steps, training sequences, and lines of a run of one document and of a spliced run.
+FIT_PER_LABEL, FIT_CHARS, FIT_STEPS = 600, 20_000, 120
+SEQUENCES, OWN_RUN, SPLICED_RUN, SPLICED_RUNS = 1600, 24, 6, 4
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -139,43 +145,51 @@ class LineField:
         weights[0] = 1.0
         return cls(weights, np.zeros((2, 2)), 0.0)
 
-    @classmethod
-    def fit(cls, lines: list[np.ndarray], labels: list[int], steps: int = FIT_STEPS, rate: float = 0.15, ridge: float = 1e-3) -> LineField:
-        """Adam steps on the mean log-likelihood a line, all documents at once over padded lines."""
+    @staticmethod
+    def padded(lines: list[np.ndarray], labels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, labels and what is no padding, by sequence and line."""
         longest, n = max(map(len, lines)), len(lines)
-        x = np.zeros((n, longest, len(FEATURES)), np.float32)
-        mask = np.zeros((n, longest), np.bool_)
-        for d, f in enumerate(lines):
-            x[d, : len(f)], mask[d, : len(f)] = f, True
-        y = np.broadcast_to(np.array(labels)[:, None], mask.shape)
-        total = mask.sum()
+        x, y, mask = np.zeros((n, longest, len(FEATURES)), np.float32), np.zeros((n, longest), np.int64), np.zeros((n, longest), np.bool_)
+        for d, (f, own) in enumerate(zip(lines, labels, strict=True)):
+            x[d, : len(f)], y[d, : len(f)], mask[d, : len(f)] = f, own, True
+        return x, y, mask
+
+    @staticmethod
+    def gradient(theta: np.ndarray, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Of the log-likelihood of all sequences, by forward and backward sums: what was seen less what is expected.
+        ``theta``: weights, the four transitions, start."""
+        w, trans, start = theta[:-5], theta[-5:-1].reshape(2, 2), theta[-1]
+        longest = x.shape[1]
+        emit = np.zeros((*mask.shape, 2))
+        emit[:, :, 1] = x @ w
+        alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
+        alpha[:, 0] = emit[:, 0] + np.array([0.0, start])
+        for t in range(1, longest):
+            alpha[:, t] = np.logaddexp(alpha[:, t - 1, 0, None] + trans[0], alpha[:, t - 1, 1, None] + trans[1]) + emit[:, t]
+        for t in range(longest - 2, -1, -1):
+            after = beta[:, t + 1] + emit[:, t + 1]
+            new = np.logaddexp(trans[:, 0] + after[:, 0, None], trans[:, 1] + after[:, 1, None])
+            beta[:, t] = np.where(mask[:, t + 1, None], new, 0.0)
+        log_z = np.logaddexp(alpha[:, 0, 0] + beta[:, 0, 0], alpha[:, 0, 1] + beta[:, 0, 1])
+        content = np.exp(np.minimum(alpha[:, :, 1] + beta[:, :, 1] - log_z[:, None], 0))
+        residual = np.where(mask, y - content, 0)
+        grad = np.zeros_like(theta)
+        grad[:-5] = np.einsum("dl,dlf->f", residual, x)
+        both = mask[:, 1:]
+        pair = np.exp(np.minimum(alpha[:, :-1, :, None] + trans + (emit + beta)[:, 1:, None, :] - log_z[:, None, None, None], 0)) * both[:, :, None, None]
+        seen = np.bincount((2 * y[:, :-1] + y[:, 1:])[both], minlength=4)
+        grad[-5:-1] = seen - pair.sum((0, 1)).ravel()
+        grad[-1] = residual[:, 0].sum()
+        return grad
+
+    @classmethod
+    def fit(cls, lines: list[np.ndarray], labels: list[np.ndarray], steps: int = FIT_STEPS, rate: float = 0.15, ridge: float = 1e-3) -> LineField:
+        """Adam steps on the mean log-likelihood a line, all sequences at once over padded lines."""
+        x, y, mask = cls.padded(lines, labels)
         theta = np.zeros(len(FEATURES) + 5)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, steps + 1):
-            w, trans, start = theta[:-5], theta[-5:-1].reshape(2, 2), theta[-1]
-            emit = np.zeros((n, longest, 2))
-            emit[:, :, 1] = x @ w
-            alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
-            alpha[:, 0] = emit[:, 0] + np.array([0.0, start])
-            for t in range(1, longest):
-                alpha[:, t] = np.logaddexp(alpha[:, t - 1, 0, None] + trans[0], alpha[:, t - 1, 1, None] + trans[1]) + emit[:, t]
-            for t in range(longest - 2, -1, -1):
-                after = beta[:, t + 1] + emit[:, t + 1]
-                new = np.logaddexp(trans[:, 0] + after[:, 0, None], trans[:, 1] + after[:, 1, None])
-                beta[:, t] = np.where(mask[:, t + 1, None], new, 0.0)
-            log_z = np.logaddexp(alpha[:, 0, 0] + beta[:, 0, 0], alpha[:, 0, 1] + beta[:, 0, 1])
-            gamma = np.exp(np.minimum(alpha + beta - log_z[:, None, None], 0)) * mask[:, :, None]
-            residual = np.where(mask, y, 0) - gamma[:, :, 1]
-            grad = np.zeros_like(theta)
-            grad[:-5] = np.einsum("dl,dlf->f", residual, x)
-            both = mask[:, 1:]
-            pair = np.exp(np.minimum(alpha[:, :-1, :, None] + trans + (emit + beta)[:, 1:, None, :] - log_z[:, None, None, None], 0)) * both[:, :, None, None]
-            seen = np.zeros((2, 2))
-            for s in (0, 1):
-                seen[s, s] = (both & (y[:, 1:] == s)).sum()
-            grad[-5:-1] = (seen - pair.sum((0, 1))).ravel()
-            grad[-1] = (y[:, 0] - gamma[:, 0, 1]).sum()
-            grad = grad / total - ridge * theta
+            grad = cls.gradient(theta, x, y, mask) / mask.sum() - ridge * theta
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return cls(theta[:-5].copy(), theta[-5:-1].reshape(2, 2).copy(), float(theta[-1]))
@@ -198,15 +212,35 @@ class LineField:
         return np.array(out[::-1], np.bool_)
 
 
-def fit_line_field(documents: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> LineField:
-    """Fits on at most ``fit_documents`` labelled documents that are not held out; rows whose label is null are left out."""
-    chosen = labels.where(~held_out()).where("quality IN (0, 1)").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_documents)
-    rows = documents.select("doc_id", "text").where(F.length("text") <= FIT_CHARS).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(2 * fit_documents).collect()
-    rows = [r for r in rows if r.text and not r.text.isspace()]
-    if len({r.quality for r in rows}) < 2:
+def sequences(by_label: tuple[list[bytes], list[bytes]], n: int, seed: int = 11) -> tuple[list[bytes], list[np.ndarray]]:
+    """``n`` texts and the labels of their lines: runs of one junk (0) or clean (1) text, and alternating runs of both."""
+    rng = np.random.default_rng(seed)
+    lines = [[t.split(b"\n") for t in texts] for texts in by_label]
+
+    def run(label: int, longest: int) -> list[bytes]:
+        own = lines[label][int(rng.integers(len(lines[label])))]
+        size = min(len(own), int(rng.integers(1, longest + 1)))
+        at = int(rng.integers(0, len(own) - size + 1))
+        return own[at : at + size]
+
+    texts, labels = [], []
+    for i in range(n):
+        label, spliced = i % 2, i % 4 >= 2
+        runs = [(k, run(k, SPLICED_RUN)) for k in ((label + j) % 2 for j in range(int(rng.integers(2, SPLICED_RUNS + 1))))] if spliced else [(label, run(label, OWN_RUN))]
+        texts.append(b"\n".join(x for _, own in runs for x in own))
+        labels.append(np.array([k for k, own in runs for _ in own]))
+    return texts, labels
+
+
+def fit_line_field(documents: DataFrame, labels: DataFrame, per_label: int = FIT_PER_LABEL) -> LineField:
+    """Fits on sequences made of at most ``per_label`` documents of each label that are not held out."""
+    junk, clean = labelled_texts(documents, labels, per_label, FIT_CHARS, "lines")
+    if not junk or not clean:
+        warnings.warn("quality rules: no labelled texts of both kinds, so every line counts as content", stacklevel=2)
         return LineField.all_content()
-    stats = examine([r.text.encode() for r in rows])
-    return LineField.fit([stats.features[a:b] for a, b in zip(stats.first_line[:-1], stats.first_line[1:], strict=True)], [r.quality for r in rows])
+    texts, marks = sequences((junk, clean), SEQUENCES)
+    stats = examine(texts)
+    return LineField.fit([stats.features[a:b] for a, b in zip(stats.first_line[:-1], stats.first_line[1:], strict=True)], marks)
 
 
 RESULTS = pa.schema([(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("content_share", pa.float64()), ("kept", pa.bool_())])
