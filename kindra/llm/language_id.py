@@ -6,13 +6,13 @@ kernel ridge regression, one language against the rest, is solved there. Kernel
 of presence rows with the landmarks' rows, and scores another.
 
 Defined results: ``und`` with score 0 for a null text, a text without any letter, and every text when nothing could be
-learned; rows with a null lang or a held-out doc_id are never learned from; a null doc_id is not held out; repeated rows
-are judged one by one; other columns are ignored.
+learned; a letter is what Unicode calls one (no digit, fraction or numeral). Rows with a null lang or a held-out doc_id are
+never learned from; a null doc_id is not held out; equal scores go to the language that is first in the alphabet; texts of
+any length are judged whole; repeated rows are judged one by one; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,19 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindra.llm.common import blob_list, bounded_batches, chunks, column_of, held_out
+from kindra.llm.common import blob_list, bounded_batches, chunks, column_of, held_out, spread_text
 
-#: Bounds of the fit: labelled texts of each language, their greatest length, and landmarks of each language.
+#: Bounds of the fit: labelled texts of each language, characters of each (windows spread over the whole text of a longer
+#: one), and landmarks of each language.
 FIT_PER_LANGUAGE, FIT_CHARS, LANDMARKS = 250, 20_000, 24
 RIDGE, TRI_BITS = 1e-3, 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
 _PLAIN = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 _BASES = (0, 256, 256 + 65536)
 _CODES = 256 + 65536 + (1 << TRI_BITS)
 _TRI = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def codes(text: str) -> np.ndarray:
     """Numbers of all n-grams of a text, lower-cased, with everything but letters as blanks; trigrams are hashed."""
     raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_PLAIN) + b" ", np.uint8)
@@ -98,7 +102,7 @@ class KernelClassifier:
 
 def fit_languages(documents: DataFrame, per_language: int = FIT_PER_LANGUAGE, max_chars: int = FIT_CHARS) -> KernelClassifier | None:
     """Fits on about ``per_language`` texts of each language, drawn by a hash of doc_id at a rate that the language's count sets."""
-    rows = documents.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & (F.length("text") <= max_chars) & F.col("doc_id").isNotNull())
+    rows = documents.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
@@ -107,10 +111,10 @@ def fit_languages(documents: DataFrame, per_language: int = FIT_PER_LANGUAGE, ma
     for lang, n in sorted(counts.items()):
         limit = min(1 << 30, int((1 << 30) * 2 * per_language / n))
         rate = F.when(F.col("lang") == lang, limit) if rate is None else rate.when(F.col("lang") == lang, limit)
-    drawn = rows.where(draw < rate).withColumn("draw", draw).orderBy("draw", "doc_id", "text").limit(4 * per_language * len(counts)).collect()
+    drawn = rows.where(draw < rate).select("doc_id", "lang", spread_text(F.col("text"), max_chars).alias("text"), draw.alias("draw")).orderBy("draw", "doc_id", "text").limit(4 * per_language * len(counts)).collect()
     texts, labels, seen, taken = [], [], set(), dict.fromkeys(counts, 0)
     for r in drawn:
-        if r.text not in seen and _LETTER(r.text) and taken[r.lang] < per_language:
+        if r.text not in seen and has_letter(r.text) and taken[r.lang] < per_language:
             seen.add(r.text)
             taken[r.lang] += 1
             texts.append(r.text)
@@ -126,7 +130,7 @@ def identify_languages(documents: DataFrame, model: KernelClassifier | None) ->
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [x.decode("utf-8", "replace") if x else "" for x in blob_list(column_of(part, "text"))]
-                known = [i for i, x in enumerate(texts) if model is not None and _LETTER(x)]
+                known = [i for i, x in enumerate(texts) if model is not None and has_letter(x)]
                 names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if known:
                     s = model.scores([texts[i] for i in known]) * 4

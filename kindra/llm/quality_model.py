@@ -6,8 +6,9 @@ a chunk is the chunk's feature, and the mean and the largest of these over all c
 Adam on the cross-entropy; gradients pass through the places of the maxima only. For scoring, the tables of neighbouring
 positions are added up for all byte pairs, so a position costs three lookups.
 
-Defined results: a null or empty text is one chunk of zero bytes and gets that score; without labels of both kinds the
-score is the share of label 1 (0.5 without any); a null doc_id is not held out; repeated rows are scored one by one; other
+Defined results: a null or empty text is one chunk of zero bytes and gets that score; texts of any length are scored
+whole, in strips; of equal responses the first in a half chunk counts; without labelled texts of both kinds the score is the
+share of label 1 (0.5 without any); a null doc_id is not held out; repeated rows are scored one by one; other
 columns are ignored.
 """
 
@@ -21,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindra.llm.common import blob_list, bounded_batches, chunks, column_of, held_out
+from kindra.llm.common import blob_list, bounded_batches, chunks, column_of, held_out, labelled_texts
 
 FILTERS, WIDTH, CHUNK = 12, 6, 256
 THRESHOLD = 0.7
-#: Bounds of the fit: documents of each label (least hash of doc_id first) and their greatest length; passes over them.
+#: Bounds of the fit: documents of each label (least hash of doc_id first) and characters of each (windows spread over the
+#: whole text of a longer one); passes over them.
 FIT_PER_LABEL, FIT_CHARS, PASSES = 500, 6000, 8
-#: Words of the extracts that are added to the fit, one of each document of label 1: short clean texts are rare in it.
+#: Words of the extracts that are added to the fit, one of each document of either label: short texts are rare among them.
 EXTRACT_WORDS = 12
 #: Bytes that are convolved at once.
 _STRIP = 1 << 15
@@ -158,25 +160,19 @@ class ByteNetwork:
 
 def fit_quality(documents: DataFrame, labels: DataFrame, per_label: int = FIT_PER_LABEL, max_chars: int = FIT_CHARS) -> ByteNetwork:
     """Fits on at most ``per_label`` documents of each label; the share of label 1 comes from all rows that may be learned from."""
-    known = labels.where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    known = labels.where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     if len(counts) < 2:
         return ByteNetwork.constant(share)
-    draw = F.xxhash64("doc_id", F.lit("quality"))
-    chosen = known.where("quality = 0").orderBy(draw, "doc_id").limit(per_label).unionByName(known.where("quality = 1").orderBy(draw, "doc_id").limit(per_label))
-    rows = documents.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").orderBy(draw, "text").limit(4 * per_label).collect()
-    seen, texts, marks, rng = set(), [], [], np.random.default_rng(9)
-    for r in rows:
-        if r.text not in seen:
-            seen.add(r.text)
-            texts.append(r.text.encode())
-            marks.append(r.quality)
-            words = texts[-1].split(b" ")
-            if r.quality == 1:
-                at = int(rng.integers(0, max(1, len(words) - EXTRACT_WORDS)))
-                texts.append(b" ".join(words[at : at + int(rng.integers(1, EXTRACT_WORDS + 1))]))
-                marks.append(1)
+    rng = np.random.default_rng(9)
+    texts, marks = [], []
+    for label, some in enumerate(labelled_texts(documents, labels, per_label, max_chars, "quality")):
+        for text in dict.fromkeys(some):
+            words = text.split(b" ")
+            at = int(rng.integers(0, max(1, len(words) - EXTRACT_WORDS)))
+            texts += [text, b" ".join(words[at : at + int(rng.integers(1, EXTRACT_WORDS + 1))])]
+            marks += [label, label]
     return ByteNetwork.fit(texts, marks, share) if len(set(marks)) == 2 else ByteNetwork.constant(share)
 
 
