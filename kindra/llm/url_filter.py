@@ -1,14 +1,17 @@
 """URL filters: rules by host and path, and a naive Bayes verdict on segmented host names for the rest.
 
 Host names run words together. A label (what stands between dots and hyphens) is split by unigram Viterbi: words are the
-labels and path parts that occur in the URLs, with their counts over all distinct hosts and all paths, and the seed words; a label's substrings
+labels and path parts that occur in the URLs, with their counts over all distinct hosts and all paths; a label's substrings
 are joined with the word counts, so no word list is sent around. The tokens of a URL are the words of its host and of its
-path. Multinomial naive Bayes over them is trained on all pages by weak labels: a page is a block example if its host's
-words include a seed word, else an allow example. Tokens are counted as they are, in a table, and distinct hosts and
-paths are joined with the log ratios of their tokens; no table is sent around, and frequent keys are dealt out.
+path. Multinomial naive Bayes over them carries the rules' verdicts to the pages that no rule fits: the pages that a rule
+judges are its examples (``labels`` adds known hosts), without the labels and path parts that the rule itself names, as
+those would only repeat the rule. Tokens are counted as they are, in a table, and distinct hosts and paths are joined with
+the log ratios of their tokens; no table is sent around, and frequent keys are dealt out.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; empty
-labels have no words; repeated pages are judged one by one; other columns are ignored.
+labels have no words; a page without host words, one whose tokens were never seen in an example, and any page where the
+examples have one verdict alone is allowed unless a rule blocks it; equal scores allow; of equally likely splits the one
+with the longer last word is taken; repeated pages are judged one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +28,7 @@ from kindra.llm.common import Scratch, bounded_batches, shuffle_width
 
 #: (host, path, verdict): fits the host and its subdomains where the path starts with the rule's; the longest wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Words that mark unwanted hosts: the weak labels of the training pages.
-SEED_WORDS = ("ads", "bets", "casino", "cheap", "clickbait", "farm", "free", "loan", "pills", "poker", "porn", "spam", "track", "viagra", "xxx")
-SEED_COUNT = 5
+#: Lengths of the words that segmentation knows; a label is segmented whole, whatever its length.
 MIN_WORD, MAX_WORD = 3, 20
 #: Shares of the rows, by shuffle partition, above which a host, path or token is dealt out.
 HOT_PARTS = 4
@@ -86,11 +87,11 @@ def segment(length: int, words: list[tuple[int, int, int]], total: float) -> lis
 
 
 def segmented_labels(hosts: DataFrame) -> DataFrame:
-    """(label, words) of every distinct host label of ``hosts`` (column host, path)."""
+    """(label, words) of every distinct host label of ``hosts`` (columns host, path)."""
     labels = hosts.select("host").distinct().select(F.explode(_labels(F.col("host"))).alias("w"))
     paths = hosts.select(F.explode(F.filter(F.split(F.translate("path", UPPER, LOWER), _CUT), lambda x: (F.length(x) >= MIN_WORD) & (F.length(x) <= MAX_WORD))).alias("w"))
-    seeds = hosts.sparkSession.createDataFrame([(w, SEED_COUNT) for w in SEED_WORDS], "w string, n long")
-    counts = labels.where((F.length("w") >= MIN_WORD) & (F.length("w") <= MAX_WORD)).unionByName(paths).groupBy("w").agg(F.count("*").alias("n")).unionByName(seeds).groupBy("w").agg(F.sum("n").alias("n"))
+    counts = labels.where((F.length("w") >= MIN_WORD) & (F.length("w") <= MAX_WORD)).unionByName(paths).groupBy("w").agg(F.count("*").alias("n"))
+    counts = Scratch(counts, "url_words").keep()
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 1
     names = labels.distinct().withColumnRenamed("w", "label")
     spans = names.select("label", F.posexplode(F.sequence(F.lit(1), F.length("label"))).alias("p0", "start")).select(
@@ -107,11 +108,6 @@ def segmented_labels(hosts: DataFrame) -> DataFrame:
     return names.join(found, "label", "left").select("label", split("label", "found").alias("words"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _path_tokens(path: pd.Series) -> pd.Series:
-    return pd.Series([["p:" + p for p in re.split(r"[^\w]+", x.lower()) if p and not p.isdigit()] for x in path])
-
-
 def _joined(rows: DataFrame, by: DataFrame, key: str, *other: str) -> DataFrame:
     """Left join on ``key``, of which ``by`` has each once. A key with more rows than 1 / HOT_PARTS of a partition's share is dealt to
     several places by the ``other`` columns; fewer than HOT_PARTS keys a partition can have that, and their places add up to
@@ -126,48 +122,77 @@ def _joined(rows: DataFrame, by: DataFrame, key: str, *other: str) -> DataFrame:
     return dealt.join(copied, [key, "place"], "left").drop("place")
 
 
-def _token_weights(by_host: DataFrame, by_path: DataFrame, pages: DataFrame) -> tuple[DataFrame, float]:
-    """(token, weight), the log ratio of each token that occurs, and that of the pages. ``pages`` has n of each (host, path, block)."""
-    of_hosts = pages.groupBy("host", "block").agg(F.sum("n").alias("n")).join(by_host, "host").select("block", "n", F.explode("tokens").alias("token"))
-    of_paths = pages.groupBy("path", "block").agg(F.sum("n").alias("n")).join(by_path, "path").select("block", "n", F.explode("tokens").alias("token"))
+def _named_parts(rule: Column) -> tuple[Column, Column]:
+    """How many labels at a host's end and how many path parts a rule names; none without a rule."""
+    labels, parts = F.lit(0), F.lit(0)
+    for host, path, _ in RULES:
+        labels = F.when(rule == host + path, len(re.findall(r"[^.-]+", host))).otherwise(labels)
+        parts = F.when(rule == host + path, len(path_tokens(path))).otherwise(parts)
+    return labels, parts
+
+
+def path_tokens(path: str) -> list[str]:
+    """Runs of letters, digits and underscores in lower case, but for plain numbers."""
+    return [p for p in re.split(r"[^\w]+", path.lower()) if p and not p.isdigit()]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _path_tokens(path: pd.Series) -> pd.Series:
+    return pd.Series([["p:" + p for p in path_tokens(x)] for x in path])
+
+
+def _token_weights(by_host: DataFrame, by_path: DataFrame, examples: DataFrame) -> tuple[DataFrame, float]:
+    """(token, weight), the log ratio of each token that occurs in the examples, and that of the examples themselves.
+    ``examples`` has n of each (host, path, rule, block), the parts that the rule names are left out."""
+    labels, parts = _named_parts(F.col("rule"))
+    pages = examples.withColumn("labels", labels).withColumn("parts", parts)
+    host_tokens = F.flatten(F.transform(F.slice("placed", F.lit(1), F.greatest(F.size("placed") - F.col("labels"), F.lit(0))), lambda x: x["tokens"]))
+    rest = F.slice("tokens", F.col("parts") + 1, F.greatest(F.size("tokens") - F.col("parts"), F.lit(0)))
+    of_hosts = pages.groupBy("host", "labels", "block").agg(F.sum("n").alias("n")).join(by_host.select("host", "placed"), "host").select("block", "n", F.explode(host_tokens).alias("token"))
+    of_paths = pages.groupBy("path", "parts", "block").agg(F.sum("n").alias("n")).join(by_path, "path").select("block", "n", F.explode(rest).alias("token"))
     own = lambda block: F.sum(F.when(F.col("block") == block, F.col("n")).otherwise(0))
     both = (own(False).alias("allow"), own(True).alias("block"))
-    counts = of_hosts.unionByName(of_paths).groupBy("token").agg(*both)
-    counts = Scratch(counts, "url_tokens").keep()
+    counts = Scratch(of_hosts.unionByName(of_paths).groupBy("token").agg(*both), "url_tokens").keep()
     n = counts.agg(F.count("*").alias("size"), F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
     prior = pages.agg(*both).first()
-    share = lambda c: (F.col(c) + SMOOTHING) / ((n[c] or 0) + SMOOTHING * max(n["size"], 1))
-    return counts.select("token", F.log(share("block") / share("allow")).alias("weight")), math.log((1.0 + (prior["block"] or 0)) / (1.0 + (prior["allow"] or 0)))
+    if not prior["block"] or not prior["allow"]:
+        return counts.select("token", F.lit(0.0).alias("weight")), 0.0
+    share = lambda c: (F.col(c) + SMOOTHING) / (n[c] + SMOOTHING * max(n["size"], 1))
+    return counts.select("token", F.log(share("block") / share("allow")).alias("weight")), math.log(prior["block"] / prior["allow"])
 
 
 def _weighed(by: DataFrame, key: str, weights: DataFrame) -> DataFrame:
-    """(key, sum of the weights of its tokens); keys without tokens are left out."""
-    return _joined(by.select(key, F.explode("tokens").alias("token")), weights, "token", key).groupBy(key).agg(F.sum("weight").alias(f"{key}_weight"))
+    """(key, sum of the weights of its tokens); keys without known tokens are left out."""
+    return _joined(by.select(key, F.explode("tokens").alias("token")), weights, "token", key).where("weight IS NOT NULL").groupBy(key).agg(F.sum("weight").alias(f"{key}_weight"))
 
 
-def filter_urls(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict and host_words of every page."""
+def filter_urls(pages: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, host_words and method_verdict (what naive Bayes says, also where a rule decides)
+    of every page. ``labels``: (host, block) of known hosts, each once; they join the examples where no rule judges."""
     host, path = host_and_path(F.col("url"))
-    urls = bounded_batches(pages).select("page_id", host.alias("host"), path.alias("path"))
+    urls = Scratch(bounded_batches(pages).select("page_id", host.alias("host"), path.alias("path")), "urls").keep()
     # Words are joined to distinct hosts, not to pages: a host with many pages is one row here.
     words = segmented_labels(urls)
     hosts = urls.select("host").distinct()
     placed = hosts.select("host", F.posexplode(_labels(F.col("host"))).alias("i", "label")).join(words, "label")
-    by_host = placed.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("words"))
-    by_host = by_host.select("host", "words", F.transform("words", lambda w: F.concat(F.lit("h:"), w)).alias("tokens"), F.arrays_overlap("words", F.lit(list(SEED_WORDS))).alias("block"))
-    by_host = Scratch(by_host, "url_hosts").keep()
+    by_host = placed.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("i", "words", F.transform("words", lambda w: F.concat(F.lit("h:"), w)).alias("tokens")))).alias("placed"))
+    flat = lambda c: F.flatten(F.transform("placed", lambda x: x[c])).alias(c)
+    by_host = Scratch(by_host.select("host", "placed", flat("words"), flat("tokens")), "url_hosts").keep()
     by_path = Scratch(urls.select("path").distinct().withColumn("tokens", _path_tokens("path")), "url_paths").keep()
-    # Distinct (host, path) with their numbers of pages, so a page's label is joined to fewer rows.
-    places = urls.groupBy("host", "path").agg(F.count("*").alias("n"))
-    pages_of = Scratch(_joined(places, by_host.select("host", "block"), "host", "path").withColumn("block", F.coalesce("block", F.lit(False))), "url_places").keep()
-    weights, bias = _token_weights(by_host.select("host", "tokens"), by_path, pages_of)
+    # Distinct (host, path) with their numbers of pages.
+    rule, verdict = rule_and_verdict(F.col("host"), F.col("path"))
+    examples = urls.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("rule", rule).withColumn("block", verdict == "block")
+    if labels is not None:
+        known = labels.select("host", F.col("block").alias("known"))
+        examples = _joined(examples, known, "host", "path").withColumn("block", F.coalesce("block", "known")).drop("known")
+    examples = Scratch(examples.where("block IS NOT NULL"), "url_examples").keep()
+    weights, bias = _token_weights(by_host, by_path, examples)
     hosts_weighed = by_host.select("host", "words").join(_weighed(by_host, "host", weights), "host", "left")
     rows = _joined(urls, hosts_weighed, "host", "page_id", "path")
     rows = _joined(rows, _weighed(by_path, "path", weights), "path", "page_id", "host")
     rows = rows.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
     score = F.round(F.lit(bias) + F.coalesce("host_weight", F.lit(0.0)) + F.coalesce("path_weight", F.lit(0.0)), 9)
-    blocks = (F.size("words") > 0) & (score > 0)
-
+    seen = F.col("host_weight").isNotNull() | F.col("path_weight").isNotNull()
+    judged = F.when((F.size("words") > 0) & seen & (score > 0), "block").otherwise("allow")
     rule, verdict = rule_and_verdict(F.col("host"), F.col("path"))
-    judged = F.when(blocks, "block").otherwise("allow")
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, judged).alias("verdict"), F.col("words").alias("host_words"))
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, judged).alias("verdict"), F.col("words").alias("host_words"), judged.alias("method_verdict"))
