@@ -8,11 +8,13 @@ the candidate counts that those statistics predict; the cheapest number of parti
 
 Each distinct fingerprint is indexed once a partition, and probes the lower neighbours of its key. Rows that share a
 (partition, key) are verified there in numpy, and each task gives back a spanning forest of the links it found, not the
-links themselves: classes need no more. Classes come from rounds of large-star and small-star steps on the forests.
+links themselves: classes need no more. A bucket with over ``BLOCK`` indexed fingerprints is cut into blocks, and each pair
+of blocks is a task's own work. Classes come from rounds of large-star and small-star steps on the forests.
 
-Defined results: null, empty or wordless texts have fingerprint zero, which is linked like any other; rows with a null
-doc_id get a fingerprint and the class of other rows with that fingerprint, else null, and link nothing; repeated rows
-share a class; other columns are ignored.
+Defined results: null, empty or wordless texts have fingerprint zero, which is linked like any other; a bit that is set in
+exactly half of the hashes is 0; rows with a null doc_id get a fingerprint and the class of other rows with that
+fingerprint, else null, and link nothing; repeated rows share a class; texts of any length are hashed whole; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindra.llm.common import Scratch, blob_list, bounded_batches, chunks, column_of, holding, shuffle_width
+from kindra.llm.common import Scratch, blob_list, bounded_batches, chunks, column_of, heads_of, holding, shuffle_width, whole_groups
 
 SHINGLE, SEED, LIMIT, BITS = 4, 42, 4, 64
 PARTITION_COUNTS = (2, 3, 4, 5)
-#: Fingerprints compared with one another at once; a larger bucket is cut again by its remaining bits.
-BLOCK = 2048
+#: Fingerprints of a bucket that one task takes; those compared with one another at once; the longest table sent to all tasks.
+BLOCK, TILE, SENT_ROWS = 8192, 2048, 100_000
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 
 
@@ -174,8 +176,8 @@ def _packed(fps: np.ndarray, bits: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def _probes(plan: Plan):
-    """(part, key, fp, node, own): own rows are indexed, the others look for partners whose key is the given one."""
+def _probes(plan: Plan, index_only: bool = False):
+    """(bucket, fp, node, own): own rows are indexed, the others look for partners whose key is the given one."""
     from itertools import combinations
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +190,7 @@ def _probes(plan: Plan):
                         continue
                     key = _packed(fps, bits)
                     yield _probe_rows(part, key, fps, nodes, True)
-                    for distance in range(1, threshold + 1):
+                    for distance in range(1, 0 if index_only else threshold + 1):
                         for flips in combinations(range(len(bits)), distance):
                             top = (key >> np.uint64(flips[-1])) & np.uint64(1) == 1  # the partner's key is the lower one
                             mask = np.uint64(sum(1 << f for f in flips))
@@ -233,23 +235,12 @@ class Forest:
         return [(x, self.find(x)) for x in list(self.parent) if self.find(x) != x]
 
 
-def _verify_bucket(own: np.ndarray, own_nodes: np.ndarray, probe: np.ndarray, probe_nodes: np.ndarray, limit: int, forest: Forest, depth: int = 0) -> None:
-    """Joins every own-own and own-probe pair within the limit."""
-    if len(own) == 0 or len(own) + len(probe) < 2:
-        return
-    if len(own) > BLOCK and depth < limit + 1:
-        # Pigeonhole again on limit + 1 slices of all 64 bits: a close pair agrees in at least one of them.
-        for k in range(limit + 1):
-            lo, hi = BITS * k // (limit + 1), BITS * (k + 1) // (limit + 1)
-            mask = np.uint64(((1 << (hi - lo)) - 1) << lo)
-            _verify_groups(own, own_nodes, probe, probe_nodes, mask, limit, forest)
-        return
-    fps, nodes = np.concatenate([own, probe]), np.concatenate([own_nodes, probe_nodes])
-    for at in range(0, len(own), BLOCK):
-        some = own[at : at + BLOCK]
-        for to in range(at, len(fps), BLOCK):
-            near = np.bitwise_count(some[:, None] ^ fps[None, to : to + BLOCK]) <= limit
-            _join_near(near, own_nodes[at : at + BLOCK], nodes[to : to + BLOCK], forest)
+def _join_tiles(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], limit: int, forest: Forest) -> None:
+    """Joins every pair within the limit of two lists of (fingerprint, node)."""
+    for at in range(0, len(left[0]), TILE):
+        some, nodes = left[0][at : at + TILE, None], left[1][at : at + TILE]
+        for to in range(0, len(right[0]), TILE):
+            _join_near(np.bitwise_count(some ^ right[0][None, to : to + TILE]) <= limit, nodes, right[1][to : to + TILE], forest)
 
 
 def _join_near(near: np.ndarray, left_nodes: np.ndarray, right_nodes: np.ndarray, forest: Forest) -> None:
@@ -272,28 +263,16 @@ def _join_near(near: np.ndarray, left_nodes: np.ndarray, right_nodes: np.ndarray
             forest.join(x, y)
 
 
-def _verify_groups(own, own_nodes, probe, probe_nodes, mask, limit, forest) -> None:
-    for key in np.unique(own & mask):
-        a, b = (own & mask) == key, (probe & mask) == key
-        _verify_bucket(own[a], own_nodes[a], probe[b], probe_nodes[b], limit, forest, limit + 1)
+_ROW = ("bucket", "low", "high", "fp", "node", "own", "block")
 
 
 def _verify(limit: int):
-    """Over rows sorted by bucket. Small buckets are compared all at once by their place within the bucket, large ones alone."""
+    """Over rows sorted by bucket and pair of blocks. Small buckets are compared all at once by their place within the bucket."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held = Forest(), None
-        for batch in batches:
-            rows = [column_of(batch, c).to_numpy(zero_copy_only=False) for c in ("bucket", "fp", "node", "own")]
-            if held is not None:
-                rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
-            if len(rows[0]) == 0:
-                continue
-            last = np.searchsorted(rows[0], rows[0][-1], "left")
-            _verify_run([r[:last] for r in rows], limit, forest)
-            held = [r[last:] for r in rows]
-        if held is not None:
-            _verify_run(held, limit, forest)
+        forest = Forest()
+        for rows in whole_groups(batches, _ROW[:3], _ROW):
+            _verify_run(rows, limit, forest)
         links = forest.links()
         x, y = np.array([a for a, _ in links], np.int64), np.array([b for _, b in links], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
@@ -302,16 +281,12 @@ def _verify(limit: int):
 
 
 def _verify_run(rows: list[np.ndarray], limit: int, forest: Forest) -> None:
-    bucket, fp, node, own = rows
-    if len(bucket) < 2:
-        return
-    fp = fp.view(np.uint64)
-    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    sizes = np.diff(np.append(heads, len(bucket)))
-    small = np.repeat(sizes <= 64, sizes)
-    longest = int(sizes[sizes <= 64].max(initial=1))
-    group = np.repeat(np.arange(len(heads)), sizes)
-    for gap in range(1, longest):
+    bucket, low, high, fp, node, own, block = rows
+    fp, heads = fp.view(np.uint64), heads_of(rows[:3])
+    sizes = np.diff(heads)
+    easy = (sizes <= 64) & (low[heads[:-1]] == high[heads[:-1]])
+    small, group = np.repeat(easy, sizes), np.repeat(np.arange(len(sizes)), sizes)
+    for gap in range(1, int(sizes[easy].max(initial=1))):
         i = np.flatnonzero(small[:-gap] & (group[:-gap] == group[gap:]))
         if len(i) == 0:
             break
@@ -320,17 +295,34 @@ def _verify_run(rows: list[np.ndarray], limit: int, forest: Forest) -> None:
         for x, y in zip(node[i].tolist(), node[i + gap].tolist(), strict=True):
             if x != y:
                 forest.join(x, y)
-    for k in np.flatnonzero(sizes > 64):
-        part = slice(heads[k], heads[k] + sizes[k])
-        o = own[part]
-        _verify_bucket(fp[part][o], node[part][o], fp[part][~o], node[part][~o], limit, forest)
+    for k in np.flatnonzero(~easy):
+        part = slice(heads[k], heads[k + 1])
+        f, n, o, b = fp[part], node[part], own[part], block[part]
+        first, last = low[heads[k]], high[heads[k]]
+        of = lambda keep: (f[keep], n[keep])  # noqa: B023, E731
+        _join_tiles(of(o & (b == first)), of(b == last), limit, forest)
+        if first != last:
+            _join_tiles(of(o & (b == last)), of(~o & (b == first)), limit, forest)
+
+
+def _dealt(rows: DataFrame, index: DataFrame, width: int) -> DataFrame:
+    """Rows at their bucket, sorted; those of buckets with over BLOCK indexed fingerprints once for each pair of blocks that
+    theirs is in."""
+    hot = index.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    hot = Scratch(hot, "hotbuckets").keep()
+    n = hot.count()
+    if n:
+        rows = rows.join(F.broadcast(hot) if n <= SENT_ROWS else hot.hint("shuffle_hash"), "bucket", "left")
+        rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    else:
+        rows = rows.withColumns({"block": F.lit(0), "low": F.lit(0), "high": F.lit(0)})
+    return rows.select(*_ROW).repartition(width, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
 
 # --------------------------------------------------------------------------- classes
 
 
-
-
 def connected(links: DataFrame) -> tuple[DataFrame, list[Scratch]]:
     """(node, root) for every node that is not the least of its class. Alternating large-star and small-star steps; the
     least neighbour is an aggregate and is joined back, so a hub's links are never gathered in one task."""
@@ -366,8 +358,9 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, seed: int = SE
     n, both = _bit_statistics(distinct)
     plan = allocate(n, both, limit)
     width = max(shuffle_width(spark), n // 20_000)
-    rows = distinct.mapInArrow(_probes(plan), "bucket long, fp long, node long, own boolean")
-    found = rows.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_verify(limit), "x long, y long")
+    probed = "bucket long, fp long, node long, own boolean"
+    dealt = _dealt(distinct.mapInArrow(_probes(plan), probed), distinct.mapInArrow(_probes(plan, True), probed), width)
+    found = dealt.mapInArrow(_verify(limit), "x long, y long")
     roots, kept = connected(found)
     known = nodes.read().join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     out = marked.read().join(known, "fp", "left").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
