@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kindra.llm import decontaminate, jaccard, language_id, line_dedup, packing, quality_model, quality_rules, simhash, substring_dedup, token_counts, url_filter
+from kindra.llm.common import held_out, labelled_texts, words_of
 from kindra.llm.queries import QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -178,10 +179,11 @@ def test_simhash(docs):
             assert (int(r.fingerprint, 16), r.component_id) == (fps[r.doc_id], classes[r.doc_id])
 
 
-@pytest.mark.parametrize("block", [8, 2048])
+@pytest.mark.parametrize("block", [8, 8192])
 def test_every_link_is_found(spark, monkeypatch, block):
     """Random fingerprints with chains of up to 4 bits, under every number of partitions."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "TILE", 32)
     rng, fps = random.Random(5), {}
     for i in range(300):
         base = rng.getrandbits(64) if i % 3 == 0 or not fps else fps[rng.choice(list(fps))]
@@ -196,14 +198,24 @@ def test_every_link_is_found(spark, monkeypatch, block):
         plan = simhash.allocate(300, bits.T @ bits)
         assert sum(plan.thresholds) == 4 - parts + 1 and sorted(b for p in plan.partitions for b in p) == list(range(64))
         source = spark.createDataFrame([(int(v), i) for i, v in enumerate(values.view(np.int64))], "fp long, node long")
-        rows = source.mapInArrow(simhash._probes(plan), "bucket long, fp long, node long, own boolean")
-        found = rows.repartition(3, "bucket").sortWithinPartitions("bucket").mapInArrow(simhash._verify(4), "x long, y long")
+        rows, index = (source.mapInArrow(simhash._probes(plan, only), "bucket long, fp long, node long, own boolean") for only in (False, True))
+        found = simhash._dealt(rows, index, 3).mapInArrow(simhash._verify(4), "x long, y long")
         frame, kept = simhash.connected(found)
         roots = {r.node: r.root for r in frame.collect()}
         assert kept
         assert {i: roots.get(i, i) for i in range(300)} == want
 
 
+def test_a_bucket_of_100_000_fingerprints_goes_to_many_tasks(spark):
+    """All in one bucket of one partition: each pair of blocks is a key of its own, and none is much larger than two blocks."""
+    plan = simhash.Plan((tuple(range(32)), tuple(range(32, 64))), (4, -1))
+    index = spark.range(100_000).selectExpr("shiftleft(id, 32) AS fp", "id AS node").mapInArrow(simhash._probes(plan, True), "bucket long, fp long, node long, own boolean")
+    dealt = simhash._dealt(index, index, 64)
+    keys = dealt.groupBy("bucket", "low", "high").count().collect()
+    blocks = -(-100_000 // simhash.BLOCK)
+    assert len({k.bucket for k in keys}) == 1 and len(keys) == blocks * (blocks + 1) // 2 and max(k["count"] for k in keys) < 2.5 * simhash.BLOCK
+
+
 def brute_jaccard(texts, least=0.8):
     """Classes of the documents by five-word Jaccard similarity, all pairs compared."""
     grams = {}
@@ -231,6 +243,7 @@ def brute_jaccard(texts, least=0.8):
 def test_near_duplicate_stage_drops_all_similar_texts(spark, docs, monkeypatch, small):
     """Copies with 1 to 30 edits of 300 words, some over and some under 0.8; many of them are further apart than 4 bits."""
     monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", 3 * small)
     rng, texts = random.Random(3), {}
     for base in range(8):
         words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
@@ -288,7 +301,7 @@ def test_quality_field_separates_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     documents, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     kept = quality_rules.quality_rules(documents, quality_rules.fit_line_field(documents, labels), ["doc_id"])
-    rows = kept.join(labels, "doc_id").where(quality_rules.held_out()).collect()
+    rows = kept.join(labels, "doc_id").where(held_out()).collect()
     clean = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
     junk = [r.kept for r in rows if r.quality == 0]
     assert np.mean(clean) > 0.97 and np.mean(junk) < 0.2
