@@ -87,14 +87,15 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": f"""
-WITH lines AS (
-  SELECT doc_id, i, line, {_LOWER.format(f"trim(line, {_BLANK})")} AS key
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
-gone AS (SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-marked AS (SELECT l.*, g.key IS NOT NULL AND g.keeper <> l.doc_id AS dropped FROM lines l LEFT JOIN gone g ON l.key = g.key)
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775807) AS own, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (
+  SELECT rid, doc_id, own, i, line, {_LOWER.format(f"trim(line, {_BLANK})")} AS key
+  FROM (SELECT rid, doc_id, own, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM doc)),
+gone AS (SELECT key, max(own) AS keeper FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT own) >= 3),
+marked AS (SELECT l.*, g.key IS NOT NULL AND g.keeper <> l.own AS dropped FROM lines l LEFT JOIN gone g ON l.key = g.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id""",
+FROM marked GROUP BY rid, doc_id""",
     "op7_substring_dedup": """
 WITH doc AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D ]+'), lambda w: w <> '') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc WHERE len(w) >= 13)),
