@@ -99,6 +99,8 @@ def representatives(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.
 
 #: Entries that a task gathers before it settles them among themselves and sends the rest.
 GATHERED = 400_000
+#: Bytes of text whose entries one shard takes, about: a shard is held whole by one worker, so their number grows with the input.
+SHARD_BYTES = 16 << 20
 _SENT = "shard int, kind int, a binary, b binary, doc binary, place binary"
 #: An entry of this kind needs the shard's answer; an entry of the other kind was settled by the sender.
 OPEN, SETTLED = 0, 1
@@ -329,7 +331,8 @@ def _told(sent: DataFrame, shards: int, losers_only: bool) -> DataFrame:
 def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """The rows of ``documents`` with n_words, n_removed, kept_text (with ``keep_text``: the words left, one space apart) and
     kept_sha256. Without ``keep_text`` doc_id and the figures alone are returned."""
-    shards = shuffle_width(bounded_batches(documents).sparkSession)
+    spark = bounded_batches(documents).sparkSession
+    shards = max(shuffle_width(spark), (documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
     carried = [c for c in documents.columns if c not in ("n_words", "n_removed", "kept_text", "kept_sha256")] if keep_text else ["doc_id"]
     rows = documents.select(*dict.fromkeys([*carried, "doc_id", "text"])).withColumn("_doc", F.coalesce("doc_id", F.lit(NULL_ID)))
     sent = rows.select("_doc", "text").mapInArrow(_send_representatives(window, shards), _SENT)
