@@ -7,12 +7,15 @@ one heap. Ranges of that order come from quantiles over all rows; token totals p
 one long stream. The stream is cut every ``length`` ids; the rest at its end is cut at powers of two, which need no
 padding. So no sequence is padded, and neighbours on the curve share sequences.
 
-Defined results: a null text counts as an empty one; an empty text has its end id alone; rows that repeat a doc_id are
-packed one by one (the order among equal rows is left open); other columns are ignored.
+Defined results: a null text counts as an empty one; an empty text has its end id alone; a null doc_id is packed and stays
+null; texts of any length are tokenized whole; rows that repeat a doc_id are packed one by one, equal keys go by doc_id and
+then by the ids themselves (so the order of equal rows makes no difference); other columns are ignored. A tokenizer file
+whose normalizer or pre-tokenizer is another is an error, not a wrong id.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -34,6 +37,9 @@ TIE_BITS = 62 - DIMS * CELL_BITS
 #: Pieces that a worker remembers at most; the half that was not used lately goes first. Longer pieces are not kept.
 CACHE, CACHED_BYTES = 500_000, 48
 _MARKS = b'!"#$%&()*+,-./:;=?@[]^_`{|}~'
+#: The normalizer and the pre-tokenizer that the encoder below knows by heart.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class PieceEncoder:
@@ -46,6 +52,12 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = spec["pre_tokenizer"].get("pretokenizers", [])
+        known = (spec["normalizer"] or {}).get("normalizers") == NORMALIZER and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": SPLIT} and steps[0]["invert"] and steps[0]["behavior"] == "Removed"
+        if not known or steps[1]["add_prefix_space"] or steps[1]["use_regex"] or spec["model"]["type"] != "BPE" or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError("pieces can't stand for whole texts with this tokenizer")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
