@@ -7,7 +7,7 @@ import json
 import os
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindra.operators import evaluation
@@ -16,51 +16,52 @@ from kindra.sources import tables
 from kindra.sources.lineage import cut
 
 
-def cross_validate(method: Any, pairs: DataFrame, truth: DataFrame, folds: DataFrame, n_folds: int) -> DataFrame:
-    """Pairs with score and selected, each record's by a model fitted on the other folds."""
-    out = None
-    for k in range(n_folds):
-        rest = truth.join(folds.where(F.col("fold") != k).select("s1_id"), "s1_id")
-        own = folds.where(F.col("fold") == k).select("s1_id")
-        part = method.predict(method.fit(pairs, rest), pairs).join(own, "s1_id").select("s1_id", "c_id", "label", "score", "selected")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _labelled(method: Any, split: tables.Split) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pairs = cut(evaluation.with_labels(method.build_pairs(split), split.truth))
-    s1, _ = prepared(split)
-    truth = cut(evaluation.true_counts(s1, split.truth))
-    return pairs, truth, s1.select("s1_id", F.col("country_norm").alias("slice"))
+def labelled(method: Any, split: tables.Split) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs with label, (s1_id, n_true, home) of all records, and (s1_id, slice); made once for a method and split."""
+    if method.name not in split.notes:
+        pairs = cut(evaluation.with_labels(method.build_pairs(split), split.truth))
+        s1, _ = prepared(split)
+        countries = s1.select("s1_id", F.col("country_norm").alias("slice"))
+        truth = cut(evaluation.true_counts(s1, split.truth).join(countries.withColumnRenamed("slice", "home"), "s1_id"))
+        split.notes[method.name] = pairs, truth, countries
+    return split.notes[method.name]
 
 
 def validate(method: Any, split: tables.Split, out_dir: str, n_folds: int, seed: int) -> dict:
-    pairs, truth, countries = _labelled(method, split)
-    strata = truth.join(countries, "s1_id").select("s1_id", F.concat_ws(":", "slice", F.least("n_true", F.lit(2)).cast("string")).alias("stratum"))
+    pairs, truth, countries = labelled(method, split)
+    strata = truth.withColumn("stratum", F.concat_ws(":", "home", F.least("n_true", F.lit(2)).cast("string")))
     folds = cut(evaluation.stratified_folds(strata, n_folds, seed))
-    chosen = cut(cross_validate(method, pairs, truth, folds, n_folds))
-    by_fold = evaluation.per_record(chosen, truth).join(folds, "s1_id").groupBy("fold").agg(F.avg("f").alias("f"))
+    chosen, info = method.cross_validate(pairs, truth, folds, n_folds)
+    chosen = cut(chosen)
+    if truth.count() > method.config.fit_records and method.name == "boosted":
+        truth = cut(truth.join(chosen.select("s1_id").distinct(), "s1_id"))  # nested validation sees the sampled records
+    counts = truth.select("s1_id", "n_true")
+    by_fold = evaluation.per_record(chosen, counts).join(folds, "s1_id").groupBy("fold").agg(F.avg("f").alias("f"))
     report = {
-        "cv": evaluation.report(chosen, truth).first().asDict(), "candidates": evaluation.candidate_recall(pairs, truth).first().asDict(), "by_country": {r.slice: r.asDict() for r in evaluation.report(chosen, truth, countries).collect()},
-        "fold_f05": {r.fold: r.f for r in by_fold.collect()}, "std_f05": by_fold.agg(F.stddev_pop("f")).first()[0],
+        "cv": evaluation.report(chosen, counts).first().asDict(), "candidates": evaluation.candidate_recall(pairs, counts).first().asDict(), "by_country": {r.slice: r.asDict() for r in evaluation.report(chosen, counts, countries).collect()},
+        "fold_f05": {r.fold: r.f for r in by_fold.collect()}, "std_f05": by_fold.agg(F.stddev_pop("f")).first()[0], "max_owners": tables.owner_multiplicity(split.truth).first()[0], **info,
     }
-    errors = tables.error_rows(chosen, split.truth, split.s1.withColumnRenamed("entity_id", "entity_id"), split.s23)
+    errors = tables.error_rows(chosen, split.truth, split.s1, split.s23)
     errors.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{out_dir}/errors")
     tables.write_json(f"{out_dir}/report.json", report)
     return report
 
 
 def predict(method: Any, train: tables.Split, test: tables.Split, out_dir: str, inputs: list[str]) -> dict:
-    pairs, truth, _ = _labelled(method, train)
+    pairs, truth, _ = labelled(method, train)
     model = method.fit(pairs, truth)
     found = cut(method.predict(model, method.build_pairs(test)).select("s1_id", "c_id", "score", "selected"))
-    order = test.s1.select(F.col("entity_id").alias("s1_id")).withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+    # The records' order in their file: a row number inside each part of it, and the part's place.
+    order = test.s1.select(F.col("entity_id").alias("s1_id"), F.monotonically_increasing_id().alias("place"))
     known = test.s23.select(F.col("entity_id").alias("c_id"))
     tables.write_outputs(out_dir, found.where("selected"), found, order, known)
     results: dict = {"model": method.summary(model)}
     if test.truth is not None:
-        labelled = evaluation.with_labels(found, test.truth)
-        results["test"] = evaluation.report(labelled, evaluation.true_counts(order, test.truth)).first().asDict()
+        scored = evaluation.with_labels(found, test.truth)
+        counts = cut(evaluation.true_counts(order, test.truth))
+        home = prepared(test)[0].select("s1_id", F.col("country_norm").alias("slice"))
+        results["test"] = evaluation.report(scored, counts).first().asDict()
+        results["test_by_country"] = {r.slice: r.f05 for r in evaluation.report(scored, counts, home).collect()}
     tables.write_json(f"{out_dir}/manifest.json", tables.manifest(vars(method.config), inputs, results))
     return results
 

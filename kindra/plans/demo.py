@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindra.functions import strings, vectors
-from kindra.functions.normalize import clean_column, country_column, skeleton_column
-from kindra.operators import blocking, context, decisions, evaluation, retrieval
+from kindra.functions.normalize import clean_column, country_column, normalize_records, skeleton_column
+from kindra.operators import blocking, context, decisions, evaluation, features, retrieval
 from kindra.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,12 +144,29 @@ def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(decisions.decide_score(pairs(spark, sf_dir)).select("s1_id", "c_id", "score", "selected"))
 
 
-@query()
+def _best_sets_sql(source: str, p: str) -> str:
+    """Expected F-beta by enumeration: every outcome of a record's pairs is a bit mask with its chance."""
+    return f""", ps AS (SELECT s1_id, list({p} ORDER BY {p} DESC) AS ps FROM {source} WHERE {p} >= 0.001e0 GROUP BY 1),
+masks AS (SELECT s1_id, ps, unnest(range(0, CAST(pow(2, len(ps)) AS BIGINT))) AS mask FROM ps WHERE ps[1] >= 0.05e0),
+chances AS (SELECT s1_id, len(ps) AS n, mask, list_aggregate(list_transform(range(0, len(ps)), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN ps[i + 1] ELSE 1e0 - ps[i + 1] END), 'product') AS chance FROM masks),
+sizes AS (SELECT *, unnest(range(0, least(n, 20) + 1)) AS k FROM chances),
+expected AS (SELECT s1_id, k, sum(chance * CASE WHEN mask = 0 THEN CASE WHEN k = 0 THEN 1e0 ELSE 0e0 END ELSE 1.25e0 * bit_count(mask & ((1::BIGINT << k) - 1)) / (k + 0.25e0 * bit_count(mask)) END) AS f FROM sizes GROUP BY 1, 2),
+best AS (SELECT s1_id, k FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(f, 11) DESC, k) AS i FROM expected) WHERE i = 1),
+places AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY {p} DESC, c_id) AS place FROM {source})"""
+
+
+@query(PAIRS + _best_sets_sql("pairs", "prob") + " SELECT s1_id, c_id, coalesce(place <= k AND prob >= 0.001e0, false) AS selected FROM places LEFT JOIN best USING (s1_id)")
 def expected_f_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.expected_f_top_k(pairs(spark, sf_dir), "prob").select("s1_id", "c_id", "selected")
 
 
-@query()
+@query(
+    PAIRS
+    + """, c AS (SELECT s1_id, c_id, 1e0 / (1e0 + exp(-(1.3e0 * ln(prob / (1e0 - prob)) - 0.2e0))) AS p FROM pairs), o AS (SELECT *, least(p, 0.999999e0) / (1e0 - least(p, 0.999999e0)) AS odds FROM c),
+soft AS (SELECT s1_id, c_id, odds / (1e0 + sum(odds) OVER (PARTITION BY c_id)) AS q FROM o)"""
+    + _best_sets_sql("soft", "q")
+    + " SELECT s1_id, c_id, round(q, 6) AS q, coalesce(place <= k AND q >= 0.001e0, false) AS selected FROM places LEFT JOIN best USING (s1_id)"
+)
 def policy_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(decisions.apply_policy(pairs(spark, sf_dir), "prob", decisions.Policy(1.3, -0.2)).select("s1_id", "c_id", "q", "selected"))
 
@@ -226,19 +243,21 @@ FOLD_STRATA = "SELECT c_custkey AS s1_id, c_mktsegment || ':' || CAST(least(coal
 
 
 @query(
-    f"WITH r AS ({FOLD_STRATA}), s AS (SELECT stratum, coalesce(sum(count(*)) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r GROUP BY stratum) "
-    "SELECT s1_id, CAST((row_number() OVER (PARTITION BY stratum ORDER BY s1_id) - 1 + start) % 5 AS BIGINT) AS fold FROM r JOIN s USING (stratum)"
+    f"""WITH r AS ({FOLD_STRATA}), n AS (SELECT stratum, count(*) AS n FROM r GROUP BY 1), s AS (SELECT stratum, n, coalesce(sum(n) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM n),
+f AS (SELECT stratum, CAST(unnest(range(CAST(start AS BIGINT), CAST(start + n AS BIGINT))) % 5 AS BIGINT) AS fold FROM s) SELECT stratum, fold, count(*) AS n FROM f GROUP BY 1, 2"""
 )
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records of each stratum each fold gets: the hash decides who, the strata how many."""
     orders = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     rows = read(spark, sf_dir, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left")
     stratum = F.concat_ws(":", "c_mktsegment", F.least(F.coalesce("n", F.lit(0)), F.lit(2)).cast("string"))
-    return evaluation.stratified_folds(rows.select(F.col("c_custkey").alias("s1_id"), stratum.alias("stratum")), 5, None)
+    rows = rows.select(F.col("c_custkey").alias("s1_id"), stratum.alias("stratum"))
+    return evaluation.stratified_folds(rows, 5).join(rows, "s1_id").groupBy("stratum", "fold").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_mktsegment AS slice, count(*) AS n FROM customer GROUP BY 1")
+@query("SELECT c_mktsegment AS slice, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM customer GROUP BY 1")
 def slice_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("slice")).agg(F.count("*").alias("n"))
+    return rounded(evaluation.histogram(read(spark, sf_dir, "customer"), F.col("c_mktsegment")))
 
 
 # --------------------------------------------------------------------------- retrieval
@@ -257,7 +276,7 @@ def bm25_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     counts = vectors.postings(d, ["c_id", "source"], vectors.space_terms(F.col("text")))
     weights = vectors.bm25(counts, ["c_id", "source"], d.count())
     terms = q.select("s1_id", F.explode(F.array_distinct(vectors.space_terms(F.col("text")))).alias("term"), F.lit(1.0).alias("w"))
-    return retrieval.top_k(retrieval.similarities(terms, weights), k)
+    return retrieval.best_matches(terms, weights, k)
 
 
 BM25 = """
@@ -280,11 +299,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tfidf_hits(spark: SparkSession, sf_dir: str, terms: Callable[[Column], Column], k: int, min_df: int = 2) -> DataFrame:
     """One space fitted on both sides."""
-    q, d = _texts(spark, sf_dir)
-    both = q.select(F.lit("q").alias("side"), F.col("s1_id").alias("id"), F.lit("").alias("source"), "text").unionByName(d.select(F.lit("d").alias("side"), F.col("c_id").alias("id"), "source", "text"))
-    w = vectors.tfidf(vectors.postings(both, ["side", "id", "source"], terms(F.col("text"))), ["side", "id", "source"], both.count(), min_df)
-    queries, documents = w.where("side = 'q'").select(F.col("id").alias("s1_id"), "term", "w"), w.where("side = 'd'").select(F.col("id").alias("c_id"), "source", "term", "w")
-    return retrieval.top_k(retrieval.similarities(queries, documents), k)
+    space = features.tfidf_spaces(*_texts(spark, sf_dir), F.col("text"), terms, min_df)
+    return retrieval.best_matches(space.queries, space.documents, k)
 
 
 def _tfidf_sql(terms: str, name: str) -> str:
@@ -338,18 +354,11 @@ def postal_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s1_id"), F.col("s_nationkey").cast("string").alias("key"), "s_acctbal")
     d = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c_id"), F.col("c_mktsegment").alias("source"), F.col("c_nationkey").cast("string").alias("key"), "c_acctbal")
     scored = q.join(d.where("c_acctbal > 0"), "key").select("s1_id", "c_id", F.round(1 / (1 + F.abs(F.col("s_acctbal") - F.col("c_acctbal"))), 6).alias("score"))
-    return rounded(retrieval.equal_key_channel(q.drop("s_acctbal"), d.drop("c_acctbal"), scored, 10))
+    return rounded(retrieval.equal_key_channel(retrieval.equal_key_pairs(q.drop("s_acctbal"), d.drop("c_acctbal")), scored, 10))
 
 
-@query(
-    """WITH v AS (SELECT vec_id, label % 2 AS source, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-p AS (SELECT q.vec_id AS s1_id, d.vec_id AS c_id, d.source, list_dot_product(q.e, d.e) AS score FROM v q JOIN v d ON q.vec_id % 10 = 0 AND d.vec_id % 10 <> 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY s1_id, source ORDER BY round(score, 6) DESC, c_id) AS rank FROM p) SELECT s1_id, c_id, CAST(source AS BIGINT) AS source, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
-)
-def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id"), (F.col("label") % 2).cast("long").alias("source"), F.col("embedding").alias("vector"))
-    q, d = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("s1_id"), "vector"), v.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("c_id"), "source", "vector")
-    return rounded(retrieval.dense_top_k(q, d, 10))
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("long").alias("source"), F.col("embedding").alias("vector"))
 
 
 def _nearest_others(v: DataFrame, k: int) -> DataFrame:
@@ -360,25 +369,70 @@ def _nearest_others(v: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-@query()
+VECTORS = "v AS (SELECT vec_id, CAST(label % 2 AS BIGINT) AS source, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"
+
+
+def _nearest_sql(vectors_of: str, k: int) -> str:
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, source ORDER BY floor(score * 1e6 + 0.5e0) DESC, c_id) AS rank
+  FROM (SELECT q.vec_id AS s1_id, d.vec_id AS c_id, d.source, list_dot_product(q.e, d.e) AS score FROM {vectors_of} q JOIN {vectors_of} d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)) WHERE rank <= {k}"""
+
+
+@query(f"WITH {VECTORS} SELECT s1_id, c_id, source, round(score, 6) AS score, rank FROM ({_nearest_sql('v', 10)})")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_nearest_others(_vectors(spark, sf_dir), 10))
+
+
+def _matrix_sql(dims: int, seed: int = 42) -> str:
+    """The projection's columns as lists, from the width of the vectors."""
+    import numpy as np
+
+    matrix = np.random.default_rng(seed).standard_normal((EMBEDDING_DIMS, dims)) / np.sqrt(dims)
+    return "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in column) + "]" for column in matrix.T.tolist()) + "]"
+
+
+#: Fixed value: the width of the table's vectors.
+EMBEDDING_DIMS = 64
+UNIT = "list_transform({0}, lambda x: x / greatest(sqrt(list_dot_product({0}, {0})), 1e-12))"
+
+
+def _projected_sql(dims: int, seed: int = 42, name: str = "") -> str:
+    return f"{name}m AS (SELECT {_matrix_sql(dims, seed)} AS m), {name}y AS (SELECT vec_id, source, list_transform(m, lambda c: list_dot_product(c, e)) AS y FROM v, {name}m), {name}low AS (SELECT vec_id, source, {UNIT.format('y')} AS e FROM {name}y)"
+
+
+@query(
+    f"""WITH {VECTORS}, {_projected_sql(32)}, {_projected_sql(32, 7, 'n')}, nu AS (SELECT vec_id, source, {UNIT.format('e')} AS e FROM nlow), lu AS (SELECT vec_id, source, {UNIT.format('e')} AS e FROM low),
+fu AS (SELECT vec_id, nu.source, list_transform(list_zip(nu.e, lu.e), lambda x: x[1] + x[2]) AS e FROM nu JOIN lu USING (vec_id)),
+h AS (SELECT 'name' AS channel, * FROM ({_nearest_sql('nu', 15)}) UNION ALL SELECT 'addr', * FROM ({_nearest_sql('lu', 15)}) UNION ALL SELECT 'full', * FROM ({_nearest_sql('fu', 15)})),
+g AS (SELECT s1_id, c_id, source, min(CASE WHEN channel = 'name' THEN rank END) AS rank_name, min(CASE WHEN channel = 'addr' THEN rank END) AS rank_addr, min(CASE WHEN channel = 'full' THEN rank END) AS rank_full,
+  max(CASE WHEN channel = 'name' THEN score END) AS name_cos, max(CASE WHEN channel = 'addr' THEN score END) AS addr_cos, max(CASE WHEN channel = 'full' THEN score END) AS full_cos,
+  sum(1e0 / (10 + rank)) AS rr FROM h GROUP BY 1, 2, 3), f AS (SELECT *, coalesce(name_cos, 0e0) + coalesce(addr_cos, 0e0) + 5e0 * rr AS fused FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY s1_id, source ORDER BY round(fused, 9) DESC, c_id) AS rank_fused FROM f)
+SELECT s1_id, c_id, source, coalesce(rank_name, 0) AS rank_name, coalesce(rank_addr, 0) AS rank_addr, coalesce(rank_full, 0) AS rank_full, round(name_cos, 6) AS name_cos, round(addr_cos, 6) AS addr_cos, round(full_cos, 6) AS full_cos, round(rr, 6) AS rr, round(fused, 6) AS fused, rank_fused FROM r WHERE rank_fused <= 10"""
+)
 def dense_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("long").alias("source"), F.col("embedding").alias("vector"))
+    v = _vectors(spark, sf_dir)
+    """Two projections play the embeddings of name and address; the third channel searches with their sum. Rank 0: not found."""
     low = vectors.random_projection(v, "vec_id", "vector", 32).join(v.select("vec_id", "source"), "vec_id")
-    hits = {name: _nearest_others(df.withColumn("vector", vectors.unit(F.col("vector"))), 15) for name, df in (("name", v), ("addr", low))}
-    return rounded(retrieval.fuse_dense(hits))
+    name, addr = (df.withColumn("vector", vectors.unit(F.col("vector"))) for df in (vectors.random_projection(v, "vec_id", "vector", 32, 7).join(v.select("vec_id", "source"), "vec_id"), low))
+    hits = {channel: _nearest_others(df, 15) for channel, df in (("name", name), ("addr", addr), ("full", vectors.summed(name, addr, ["vec_id", "source"])))}
+    return rounded(retrieval.fuse_dense(hits).fillna(0, ["rank_name", "rank_addr", "rank_full"]))
 
 
-@query()
+@query(f"WITH {VECTORS}, {_projected_sql(16)} SELECT vec_id, CAST(i AS BIGINT) AS i, round(e[i], 6) AS x FROM (SELECT vec_id, e, unnest(range(1, 17)) AS i FROM low)")
 def random_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vectors.random_projection(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 16)
-    return out.select("vec_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    return rounded(out.select("vec_id", F.posexplode("vector").alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("i"), "x"))
 
 
 @query()
 def hashed_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    """All postings; the weights of terms are learned from the benchmark and documents and used for the documents."""
+    q, d = _texts(spark, sf_dir)
     terms = vectors.hashed_terms(vectors.char_terms(F.col("text"), 3, 4))
-    return rounded(vectors.tfidf(vectors.postings(d, ["doc_id"], terms), ["doc_id"], d.count()).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.max("w").alias("max_w")))
+    counts = vectors.postings(d, ["c_id"], terms)
+    both = vectors.postings(q.select(F.col("s1_id").alias("c_id"), "text"), ["c_id"], terms).unionByName(counts)
+    idf = vectors.inverse_frequencies(both, q.count() + d.count())
+    return rounded(vectors.weighted(counts, ["c_id"], idf).withColumnRenamed("c_id", "doc_id"))
 
 
 # --------------------------------------------------------------------------- blocking
@@ -450,35 +504,34 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {NAME_PAIRS}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM part), idf AS (SELECT term, ln((n + 1) / (count(*) + 1)) + 1e0 AS idf FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS term FROM part), n GROUP BY term, n),
+    f"""WITH {NAME_PAIRS}, names AS (SELECT p_name AS name FROM part UNION ALL SELECT p_name || ' ' || lower(p_type) FROM part), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM names),
+idf AS (SELECT term, ln((n + 1) / (count(*) + 1)) + 1e0 AS idf FROM (SELECT unnest(list_distinct(string_split(name, ' '))) AS term FROM names), n GROUP BY term, n),
 t AS (SELECT a, b, {OVERLAP} FROM np), u AS (SELECT a, b, unnest(list_distinct(list_concat(x, y))) AS term, x, y FROM t)
 SELECT a, b, round(sum(CASE WHEN list_contains(x, term) AND list_contains(y, term) THEN idf ELSE 0e0 END) / sum(idf), 6) AS wjaccard FROM u JOIN idf USING (term) GROUP BY a, b"""
 )
 def token_weighted_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights join by term; the pair's tokens are a few rows each."""
     part = read(spark, sf_dir, "part")
-    n = part.count()
-    idf = part.select(F.explode(F.array_distinct(strings.tokens(F.col("p_name")))).alias("term")).groupBy("term").agg((F.log((n + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    x, y = F.array_distinct(strings.tokens(F.col("a"))), F.array_distinct(strings.tokens(F.col("b")))
-    rows = name_pairs(spark, sf_dir).select("a", "b", F.explode(F.array_union(x, y)).alias("term"), x.alias("x"), y.alias("y")).join(idf, "term")
-    both = F.when(F.array_contains("x", F.col("term")) & F.array_contains("y", F.col("term")), F.col("idf")).otherwise(F.lit(0.0))
-    return rounded(rows.groupBy("a", "b").agg((F.sum(both) / F.sum("idf")).alias("wjaccard")))
+    idf = features.token_idf(part.select(F.col("p_name").alias("name")), part.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name")), "name")
+    p = name_pairs(spark, sf_dir).select(F.col("a").alias("s1_id"), F.col("b").alias("c_id"), F.col("a").alias("l_name"), F.col("b").alias("r_name"))
+    return rounded(features.weighted_jaccard(p, "name", idf, "wjaccard").select(F.col("s1_id").alias("a"), F.col("c_id").alias("b"), "wjaccard"))
 
 
-PEOPLE = "sc AS (SELECT s_suppkey, c_custkey, s_name, c_name, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE substr(s_name, 1, 4) END AS a, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE substr(c_name, 1, 4) END AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey)"
+PEOPLE = """sc AS (SELECT s_suppkey, c_custkey, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s.n_name END AS a, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c.n_name END AS b
+FROM supplier JOIN nation s ON s_nationkey = s.n_nationkey JOIN nation c ON c.n_regionkey = s.n_regionkey JOIN customer ON c_nationkey = c.n_nationkey)"""
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, c = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "customer")
-    left = F.when(F.col("s_suppkey") % 5 == 0, F.lit("")).otherwise(F.left("s_name", F.lit(4)))
-    right = F.when(F.col("c_custkey") % 7 == 0, F.lit("")).otherwise(F.left("c_name", F.lit(4)))
-    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_custkey", "s_name", "c_name", left.alias("a"), right.alias("b"))
+    """Suppliers and customers of a region, with the names of their nations; some have none."""
+    s, c, n = (read(spark, sf_dir, t) for t in ("supplier", "customer", "nation"))
+    left = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey", F.when(F.col("s_suppkey") % 5 == 0, F.lit("")).otherwise(F.col("n_name")).alias("a"))
+    right = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey", F.when(F.col("c_custkey") % 7 == 0, F.lit("")).otherwise(F.col("n_name")).alias("b"))
+    return left.join(right, "n_regionkey")
 
 
-@query(f"WITH {PEOPLE} SELECT s_suppkey, c_custkey, CASE WHEN a <> '' AND b <> '' THEN CASE WHEN a = b THEN 1e0 ELSE 0e0 END END AS equal, CASE WHEN a <> '' AND b <> '' THEN CASE WHEN substr(a, 1, 1) = substr(b, 1, 1) THEN 1e0 ELSE 0e0 END END AS prefix FROM sc")
+@query(f"WITH {PEOPLE} SELECT s_suppkey, c_custkey, CASE WHEN a <> '' AND b <> '' THEN CASE WHEN a = b THEN 1e0 ELSE 0e0 END END AS equal, CASE WHEN a <> '' AND b <> '' THEN CASE WHEN substr(a, 1, 8) = substr(b, 1, 8) THEN 1e0 ELSE 0e0 END END AS prefix FROM sc")
 def tri_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    return _people(spark, sf_dir).select("s_suppkey", "c_custkey", strings.tri_state(a, b).alias("equal"), strings.prefix_match(a, b, 1).alias("prefix"))
+    return _people(spark, sf_dir).select("s_suppkey", "c_custkey", strings.tri_state(a, b).alias("equal"), strings.prefix_match(a, b, 8).alias("prefix"))
 
 
 ACRONYM = "list_aggregate(list_transform(string_split({0}, ' '), lambda t: substr(t, 1, 1)), 'string_agg', '')"
@@ -496,11 +549,18 @@ def acronym_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_pairs(spark, sf_dir).select("a", "b", strings.acronym_match(short(a), a, short(b), core_b).alias("acronym"), strings.token_equal(a, b, 1).alias("first_token"), strings.token_equal(a, b, -1).alias("last_token"))
 
 
-@query("WITH f AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1) SELECT p_partkey, round(ln(1e0 + n), 6) AS name_freq FROM part JOIN f USING (p_name)")
+@query(
+    """WITH l AS (SELECT * FROM part WHERE p_size <= 25), r AS (SELECT * FROM part WHERE p_size > 25), fl AS (SELECT p_name, count(*) AS n FROM l GROUP BY 1), fr AS (SELECT p_name, count(*) AS n FROM r GROUP BY 1)
+SELECT l.p_partkey AS s1_id, r.p_partkey AS c_id, round(ln(1e0 + coalesce(a.n, 0)), 6) AS name_freq_s1, round(ln(1e0 + coalesce(b.n, 0)), 6) AS name_freq_s1_in_cands, round(ln(1e0 + coalesce(c.n, 0)), 6) AS name_freq_cand
+FROM l JOIN r ON l.p_brand = r.p_brand AND l.p_type = r.p_type LEFT JOIN fl a ON a.p_name = l.p_name LEFT JOIN fr b ON b.p_name = l.p_name LEFT JOIN fr c ON c.p_name = r.p_name"""
+)
 def name_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part")
-    counts = part.groupBy("p_name").agg(F.count("*").alias("n"))
-    return rounded(part.join(counts, "p_name").select("p_partkey", F.log1p("n").alias("name_freq")))
+    part = read(spark, sf_dir, "part").withColumn("name_core", F.col("p_name"))
+    small, large = part.where("p_size <= 25"), part.where("p_size > 25")
+    left = small.select(F.col("p_partkey").alias("s1_id"), F.col("p_name").alias("l_name_core"), "p_brand", "p_type")
+    right = large.select(F.col("p_partkey").alias("c_id"), F.col("p_name").alias("r_name_core"), "p_brand", "p_type")
+    out = features.frequency_features(left.join(right, ["p_brand", "p_type"]), small, large)
+    return rounded(out.select("s1_id", "c_id", "name_freq_s1", "name_freq_s1_in_cands", "name_freq_cand"))
 
 
 # --------------------------------------------------------------------------- normalisation and tables
@@ -562,11 +622,12 @@ def validate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.output_violations(matches, p.where("prob >= 0.6"), s1, s23)
 
 
-@query("SELECT s_suppkey, ids[1] AS first_id, CAST(len(list_distinct(ids)) AS INTEGER) AS n_ids FROM (SELECT s_suppkey, list_filter([trim(x) for x in string_split(' ' || s_name || ', ' || s_name || ' ,, ' || CAST(s_nationkey AS VARCHAR), ',')], lambda x: x <> '') AS ids FROM supplier)")
+@query("""WITH t AS (SELECT s_suppkey, [trim(x) for x in string_split(' ' || s_name || ', ' || s_name || ' ,, ' || CAST(s_nationkey AS VARCHAR), ',')] AS l FROM supplier), u AS (SELECT s_suppkey, unnest(l) AS id, generate_subscripts(l, 1) AS i FROM t)
+SELECT s_suppkey, id, row_number() OVER (PARTITION BY s_suppkey ORDER BY min(i)) - 1 AS place FROM u WHERE id <> '' GROUP BY s_suppkey, id""")
 def parse_id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit(" "), "s_name", F.lit(", "), "s_name", F.lit(" ,, "), F.col("s_nationkey").cast("string"))
     ids = tables.parse_id_list(text)
-    return read(spark, sf_dir, "supplier").select("s_suppkey", F.get(ids, F.lit(0)).alias("first_id"), F.size(ids).cast("int").alias("n_ids"))
+    return rounded(read(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(ids).alias("place", "id")))
 
 
 # --------------------------------------------------------------------------- pair tables and whole matchers
@@ -588,31 +649,41 @@ def source_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.best_per_source(pairs(spark, sf_dir).withColumn("source", F.col("c_id") % 2), "prob", 2).select("s1_id", "c_id")
 
 
-@query(f"WITH {_tfidf_sql(WORD_SQL, 'tf')}, p AS (SELECT item_id AS s1_id, doc_id AS c_id FROM benchmark JOIN documents ON doc_id % 40 = item_id) SELECT p.s1_id, p.c_id, CASE WHEN q.id IS NOT NULL AND d.id IS NOT NULL THEN round(coalesce(score, 0e0), 6) END AS cosine FROM p LEFT JOIN tf ON tf.s1_id = p.s1_id AND tf.c_id = p.c_id LEFT JOIN (SELECT DISTINCT id FROM tf_w WHERE side = 'q') q ON q.id = p.s1_id LEFT JOIN (SELECT DISTINCT id FROM tf_w WHERE side = 'd') d ON d.id = p.c_id")
+@query(f"WITH {BM25}, {_tfidf_sql(WORD_SQL, 'tw')}, p AS ({_ranked_sql('bm', 5)}) SELECT p.s1_id, p.c_id, CASE WHEN q.id IS NOT NULL AND d.id IS NOT NULL THEN round(coalesce(tw.score, 0e0), 6) END AS cosine FROM p LEFT JOIN tw ON tw.s1_id = p.s1_id AND tw.c_id = p.c_id LEFT JOIN (SELECT DISTINCT id FROM tw_w WHERE side = 'q') q ON q.id = p.s1_id LEFT JOIN (SELECT DISTINCT id FROM tw_w WHERE side = 'd') d ON d.id = p.c_id")
 def pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kindra.operators import features
-
+    """Of the pairs that BM25 retrieves."""
     q, d = _texts(spark, sf_dir)
     spaces = features.tfidf_spaces(q, d, F.col("text"), vectors.word_terms, 2)
-    p = q.join(d, F.col("s1_id") == F.col("c_id") % 40).select("s1_id", "c_id")
-    return rounded(features.pair_cosine(p, spaces, "cosine"))
+    return rounded(features.pair_cosine(bm25_hits(spark, sf_dir, 5).select("s1_id", "c_id"), spaces, "cosine"))
 
 
-def _document_records(spark: SparkSession, sf_dir: str) -> tables.Split:
-    """Even documents as primary records, odd ones as the two other sources; the opening words serve as name and address."""
-    d = read(spark, sf_dir, "documents").withColumn("t", F.regexp_replace("text", r"\s+", " "))
-    record = [F.substring("t", 1, 60).alias("business_name"), F.substring("t", 61, 120).alias("business_address"), F.col("lang").alias("country")]
-    s1 = d.where("doc_id % 2 = 0").select(F.concat(F.lit("S1-"), F.col("doc_id").cast("string")).alias("entity_id"), *record, F.lit("S1").alias("source"))
-    source = F.when(F.col("doc_id") % 4 == 1, F.lit("S2")).otherwise(F.lit("S3"))
-    s23 = d.where("doc_id % 2 = 1").select(F.concat_ws("-", source, F.col("doc_id").cast("string")).alias("entity_id"), *record, source.alias("source"))
-    return tables.Split("documents", s1, s23, None)
+def _records(spark: SparkSession, sf_dir: str) -> tables.Split:
+    """All suppliers as primary records, all customers as the other two sources: in debt or not. Balance and nation are the address."""
+    n = read(spark, sf_dir, "nation")
 
+    def of(table: str, c: str, key: str, prefix: Column, source: Column) -> DataFrame:
+        rows = read(spark, sf_dir, table).join(n, F.col(f"{c}_nationkey") == F.col("n_nationkey"))
+        address = F.concat_ws(" ", F.floor(F.abs(f"{c}_acctbal")).cast("string"), "n_name")
+        return rows.select(F.concat_ws("-", prefix, F.col(key).cast("string")).alias("entity_id"), F.col(f"{c}_name").alias("business_name"), address.alias("business_address"), F.col("n_name").alias("country"), source.alias("source"))
+
+    other = F.when(F.col("c_acctbal") < 0, F.lit("S2")).otherwise(F.lit("S3"))
+    return tables.Split("people", of("supplier", "s", "s_suppkey", F.lit("S1"), F.lit("S1")), of("customer", "c", "c_custkey", other, other), None)
 
-@query()
-def normalized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kindra.functions.normalize import normalize_records
 
-    return normalize_records(_document_records(spark, sf_dir).s1)
+_RUNLESS = "list_aggregate(list_transform(list_filter(range(1, length(num) + 1), lambda i: i = 1 OR substr(num, i, 1) <> substr(num, i - 1, 1)), lambda i: substr(num, i, 1)), 'string_agg', '')"
+
+
+@query(
+    f"""WITH r AS (SELECT 'S1-' || s_suppkey AS entity_id, s_name AS business_name, CAST(floor(abs(s_acctbal)) AS BIGINT) AS bal, n_name AS country, 'S1' AS source FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT CASE WHEN c_acctbal < 0 THEN 'S2-' ELSE 'S3-' END || c_custkey, c_name, CAST(floor(abs(c_acctbal)) AS BIGINT), n_name, CASE WHEN c_acctbal < 0 THEN 'S2' ELSE 'S3' END FROM customer JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT *, lower(split_part(business_name, '#', 1)) AS word, split_part(business_name, '#', 2) AS num, lower(replace(country, '_', ' ')) AS place, split_part(country, '_', 2) AS nth FROM r)
+SELECT entity_id, business_name, bal || ' ' || country AS business_address, country, source, word || ' ' || num AS name_norm, word || ' ' || num AS name_core, '' AS name_alt, '' AS name_legal,
+  CASE word WHEN 'supplier' THEN 'splr' ELSE 'cstmr' END || ' ' || {_RUNLESS} AS name_skel, substr(word, 1, 1) || substr(num, 1, 1) AS name_acronym, bal || ' ' || place AS addr_norm, bal || ' ' || place AS addr_core, '' AS addr_landmark, '' AS postal,
+  CASE WHEN CAST(bal AS VARCHAR) = nth THEN nth WHEN length(CAST(bal AS VARCHAR)) < length(nth) OR (length(CAST(bal AS VARCHAR)) = length(nth) AND CAST(bal AS VARCHAR) < nth) THEN bal || ' ' || nth ELSE nth || ' ' || bal END AS nums, CAST(bal AS VARCHAR) AS house, place AS country_norm FROM s"""
+)
+def normalized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = _records(spark, sf_dir)
+    return normalize_records(split.s1.unionByName(split.s23))
 
 
 @query()
@@ -620,7 +691,7 @@ def rule_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindra.plans.methods import RuleMethod
 
     method = RuleMethod()
-    return rounded(method.predict(decisions.RuleParams(), method.build_pairs(_document_records(spark, sf_dir))).where("selected").select("s1_id", "c_id", "score"))
+    return rounded(method.predict(decisions.RuleParams(), method.build_pairs(_records(spark, sf_dir))).select("s1_id", "c_id", "score", "selected"))
 
 
 @query()
@@ -628,7 +699,7 @@ def near_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindra.plans.methods import ScoreMethod
 
     method = ScoreMethod()
-    return rounded(method.predict(decisions.ScoreParams(), method.build_pairs(_document_records(spark, sf_dir))).where("selected").select("s1_id", "c_id", "score"))
+    return rounded(method.predict(decisions.ScoreParams(), method.build_pairs(_records(spark, sf_dir))).select("s1_id", "c_id", "score", "selected"))
 
 
 @query()
@@ -636,5 +707,5 @@ def boosted_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindra.operators.features import feature_names
     from kindra.plans.methods import BoostMethod
 
-    df = BoostMethod().build_pairs(_document_records(spark, sf_dir))
+    df = BoostMethod().build_pairs(_records(spark, sf_dir))
     return rounded(df.select("s1_id", "c_id", *feature_names(df)))

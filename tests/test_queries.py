@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -13,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows_of(df):
     values = df[sorted(df.columns)].itertuples(index=False)
-    return sorted(repr([None if x is None or x != x else x.item() if hasattr(x, "item") else x for x in row]) for row in values)
+    return sorted(repr([None if x is None or x is pd.NA or x != x else x.item() if hasattr(x, "item") else x for x in row]) for row in values)
 
 
 @pytest.fixture(scope="module")
