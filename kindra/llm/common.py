@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
@@ -91,6 +92,13 @@ class Scratch:
         self._gone()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of plans that nothing refers to any more, but only learns of them when the driver
+    collects garbage, which a long chain of small driver steps hardly ever makes it do."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def holding(df: DataFrame, *scratches: Scratch) -> DataFrame:
     """``df`` keeps the scratch tables it reads. They live until the application ends, as frames derived from it read them too."""
     _KEPT.extend(scratches)
