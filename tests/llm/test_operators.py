@@ -832,7 +832,7 @@ def test_pipeline_on_odd_rows(spark, tmp_path, labelled):
     rng = random.Random(2)
     body = lambda n: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(10**5)}" for _ in range(n)).capitalize() + "."
     clean = body(40)
-    rows = [(1, clean), (2, clean), (3, None), (4, ""), (None, f"{body(30)} {passage}"), (None, body(30)), (None, f"{body(20)}\n{body(10)}"), (5, f"{passage} {body(30)}"), (6, body(50)), (6, rows_text := body(50)), (7, body(400_000))]
+    rows = [(1, clean), (2, clean), (3, None), (4, ""), (None, f"{body(30)} {passage}"), (None, body(30)), (None, f"{body(20)}\n{body(10)}"), (5, f"{passage} {body(30)}"), (6, body(50)), (6, rows_text := body(50)), (7, body(60_000))]
     rows.append((6, rows_text))
     documents = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "own", 5, "mark") for i, t in rows], SCHEMA + ", kept string, n_lines int, _marks string")
     documents.write.parquet(f"{tmp_path}/documents.parquet")
