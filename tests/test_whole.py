@@ -1,9 +1,10 @@
 """Queries over all rows of their tables: what a filter on ids or a cut text would lose."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from kindra.plans.registry import QUERIES
+from kindra.plans.registry import ORACLES, QUERIES
 
 
 def test_dense_topk_searches_all_other_rows(spark, sf_dir):
@@ -18,3 +19,14 @@ def test_dense_topk_searches_all_other_rows(spark, sf_dir):
             others = np.flatnonzero((source == k) & (ids != ids[i]))
             order = others[np.lexsort((ids[others], -np.round(v[others] @ v[i], 6)))][:10]
             assert [got[ids[i], k][n] for n in range(1, len(order) + 1)] == ids[order].tolist()
+
+
+def test_block_pairs_leaves_large_blocks_to_the_fallback(spark, tmp_path):
+    """A part whose only shared key has over 4000 pairs: the SQL has no pair of it."""
+    large = [(i, f"name {i}", f"brand {i}", i, "one type") for i in range(128)]
+    parts = [*large, (200, "same", "x", 1, "other"), (201, "same", "y", 2, "rest")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    got = [tuple(r) for r in QUERIES["block_pairs"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert got == con.sql(ORACLES["block_pairs"]).fetchall() == [(200, 201, 1)]
