@@ -319,6 +319,24 @@ def test_near_duplicate_stage_drops_all_similar_texts(spark, docs, monkeypatch,
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in texts if classes[i] == i)
 
 
+def test_sketches_drop_chance_pairs_and_no_similar_one():
+    """One bucket of 40 texts that share a passage, four of them near copies: only pairs of those are given on."""
+    rng = random.Random(8)
+    for words in (12, 60, 400, 9000):
+        copies = [[f"w{rng.randrange(10**6)}" for _ in range(words)]]
+        for k in (1, 2, words // 60):
+            copies.append([w if i >= k else f"e{rng.randrange(10**6)}" for i, w in enumerate(copies[0])])
+        others = [[f"o{rng.randrange(10**6)}" for _ in range(words)] for _ in range(36)]
+        sets = jaccard.shingle_sets([" ".join(w).encode() for w in copies + others])
+        x, y = np.triu_indices(40, 1)
+        size = np.array([len(s) for s in sets])
+        sketches = np.empty(40, object)
+        sketches[:] = [jaccard._sketch(s) for s in sets]
+        kept = jaccard._close(sketches, size, x, y)
+        similar = np.array([bool(jaccard.similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))) for i, j in zip(x, y, strict=True)])
+        assert not (similar & ~kept).any() and (words == 12 or similar.sum() == 6) and kept[x >= 4].mean() < (0.3 if words == 12 else 0.02)
+
+
 # --------------------------------------------------------------------------- quality rules
 
 
