@@ -4,6 +4,8 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from kindra.functions import vectors
+from kindra.operators import features
 from kindra.plans.registry import ORACLES, QUERIES
 
 
@@ -30,3 +32,19 @@ def test_block_pairs_leaves_large_blocks_to_the_fallback(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     assert got == con.sql(ORACLES["block_pairs"]).fetchall() == [(200, 201, 1)]
+
+
+def test_listed_postings_stay_where_their_rows_are(spark):
+    """No exchange below the weights, and those of ``tfidf_spaces``; a repeated id is one document."""
+    q = spark.createDataFrame([(1, "a b b c"), (2, "d e"), (3, None)], "s1_id long, text string")
+    once = [(1, "x", "a b c d"), (2, "y", "b b b e f"), (3, "x", "z"), (4, "y", None)]
+    for rows in (once, [*once, (2, "y", "a e")]):
+        d = spark.createDataFrame(rows, "c_id long, source string, text string")
+        listed, plain = (f(q, d, F.col("text"), vectors.word_terms, 2) for f in (features.listed_spaces, features.tfidf_spaces))
+        if rows is once:
+            assert "Exchange" not in listed.documents._jdf.queryExecution().executedPlan().toString()
+            own = {(r.c_id, r.source, r.term): round(r.w, 9) for r in vectors.exploded(listed.documents, ["c_id", "source"]).where("term IS NOT NULL").collect()}
+            asked = plain.documents.join(plain.queries.select("term").distinct(), "term").select("c_id", "source", F.xxhash64("term").alias("term"), "w")
+            assert own and own == {(r.c_id, r.source, r.term): round(r.w, 9) for r in asked.collect()}
+        else:
+            assert sorted(r.c_id for r in listed.documents.collect()) == [1, 2]
