@@ -48,3 +48,8 @@ def test_listed_postings_stay_where_their_rows_are(spark):
             assert own and own == {(r.c_id, r.source, r.term): round(r.w, 9) for r in asked.collect()}
         else:
             assert sorted(r.c_id for r in listed.documents.collect()) == [1, 2]
+
+
+def test_name_frequency_joins_pairs_last(spark, sf_dir):
+    plan = QUERIES["name_frequency"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_brand" in next(line for line in plan.splitlines() if "Join" in line)
