@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kindra.functions import vectors
-from kindra.operators import features
+from kindra.operators import context, features, retrieval
 from kindra.plans.registry import ORACLES, QUERIES
 
 
@@ -53,3 +53,12 @@ def test_listed_postings_stay_where_their_rows_are(spark):
 def test_name_frequency_joins_pairs_last(spark, sf_dir):
     plan = QUERIES["name_frequency"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "p_brand" in next(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_context_of_rows_that_stand_for_several(spark):
+    pairs = spark.createDataFrame([(s, c, n, x, None if x == 0.5 else x) for s, n in (("a", 1), ("b", 3), ("c", 1)) for c, x in (("p", 0.95), ("q", 0.5), ("r", 0.1 * n)) if (s, c) != ("c", "q")], "s1_id string, c_id string, copies long, n double, d double")
+    pairs = pairs.withColumn("combo", F.round(context.combo(F.col("n"), F.col("d")), 9))
+    each = pairs.withColumn("i", F.explode(F.sequence(F.lit(1), "copies"))).withColumn("s1_id", F.concat("s1_id", "i"))
+    want = each.select("s1_id", "c_id", *[c.alias(k) for k, c in context.context_features(F.col("n"), F.col("d"), F.col("combo")).items()])
+    got = context.with_context(pairs, "n", "d", "combo").join(pairs.select("s1_id", "c_id", "copies"), ["s1_id", "c_id"]).withColumn("i", F.explode(F.sequence(F.lit(1), "copies"))).withColumn("s1_id", F.concat("s1_id", "i"))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() == 14
