@@ -55,6 +55,26 @@ def test_name_frequency_joins_pairs_last(spark, sf_dir):
     assert "p_brand" in next(line for line in plan.splitlines() if "Join" in line)
 
 
+def test_alike_records_are_searched_and_scored_once(spark):
+    """Copies cost no pairs of their own until the end, and change nothing: held against records that each stand for themselves."""
+    from kindra.functions.normalize import normalize_records
+    from kindra.plans import methods
+    from kindra.sources.tables import Split
+
+    names = [(f"Oak {w} Ltd", f"{n} High Street 110{n:02d}", "India") for n, w in enumerate(("Mills", "Mill", "Bank", "Banks"), 1)]
+    s1 = [(f"S1-{i}", *names[i % 2], "S1") for i in range(6)]
+    s23 = [(f"S{2 + i % 2}-{i}", *names[i % 4 if i % 5 else 0], f"S{2 + i % 2}") for i in range(90)] + [("S2-90", None, None, "India", "S2"), ("S2-91", "", None, "India", "S2")]
+    split = Split("copies", *(spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string, source string") for rows in (s1, s23)), None)
+    once, own = methods.alike(split), [normalize_records(s).withColumn("copies", F.lit(1)) for s in (split.s1, split.s23)]
+    plain = Split("plain", split.s1, split.s23, None)
+    single = [s.withColumnRenamed("entity_id", c) for s, c in zip(own, ("s1_id", "c_id"), strict=True)]
+    plain.notes["alike"] = features.Alike(*single, single[0].select("s1_id", F.col("s1_id").alias("s1_rep")), single[1].select("c_id", F.col("c_id").alias("c_rep"), F.lit(1).alias("place")))
+    assert once.s1.count() == 2 and once.s23.count() == 6 and once.c_ids.count() == 92
+    for method in (methods.ScoreMethod(),):
+        got, want = (sorted(repr([round(x, 6) if isinstance(x, float) else x for x in r]) for r in p.select("s1_id", "c_id", *features.feature_names(p)).collect()) for p in (method.build_pairs(s) for s in (split, plain)))
+        assert len(got) > 6 * 25 and got == want and method.kinds(split).count() * 3 == len(got)
+
+
 def test_context_of_rows_that_stand_for_several(spark):
     pairs = spark.createDataFrame([(s, c, n, x, None if x == 0.5 else x) for s, n in (("a", 1), ("b", 3), ("c", 1)) for c, x in (("p", 0.95), ("q", 0.5), ("r", 0.1 * n)) if (s, c) != ("c", "q")], "s1_id string, c_id string, copies long, n double, d double")
     pairs = pairs.withColumn("combo", F.round(context.combo(F.col("n"), F.col("d")), 9))
