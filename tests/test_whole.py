@@ -82,3 +82,22 @@ def test_context_of_rows_that_stand_for_several(spark):
     want = each.select("s1_id", "c_id", *[c.alias(k) for k, c in context.context_features(F.col("n"), F.col("d"), F.col("combo")).items()])
     got = context.with_context(pairs, "n", "d", "combo").join(pairs.select("s1_id", "c_id", "copies"), ["s1_id", "c_id"]).withColumn("i", F.explode(F.sequence(F.lit(1), "copies"))).withColumn("s1_id", F.concat("s1_id", "i"))
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() == 14
+
+
+def test_postal_channel_without_all_pairs_of_a_nation(spark, tmp_path):
+    """Ties by rounding and by equal balances, far and missing balances, nations of one side; no join of suppliers with customers."""
+    rng = np.random.default_rng(3)
+    near = lambda n, wide: [round(float(x), 2) for x in rng.uniform(-wide / 4, wide, n)]
+    suppliers = [(i, i % 4, x) for i, x in enumerate([*near(30, 300), 5e3, 9e6, -9e6, 0.0, None, 12.5, 12.5])]
+    customers = [(i, i % 3, x, "AB"[i % 2] if i % 7 else None) for i, x in enumerate([*near(300, 200), *[12.5] * 40, *near(60, 2e4), None, 0.0, -3.0])]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    for t in ("supplier", "customer"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for held in (retrieval.TIED_ROWS, 8):
+        retrieval.TIED_ROWS = held
+        got = QUERIES["postal_channel"](spark, str(tmp_path))
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, con.sql(ORACLES["postal_channel"]).fetchall()))
+    retrieval.TIED_ROWS = 4096
+    assert all("c_id" not in line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
