@@ -101,3 +101,9 @@ def test_postal_channel_without_all_pairs_of_a_nation(spark, tmp_path):
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, con.sql(ORACLES["postal_channel"]).fetchall()))
     retrieval.TIED_ROWS = 4096
     assert all("c_id" not in line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+
+
+def test_tri_state_exchanges_no_pairs_side_by_region(spark, sf_dir):
+    """Five regions would make five tasks, which spill all customers of a region."""
+    plan = QUERIES["tri_state"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in next(line for line in plan.splitlines() if "Join" in line) and "Repartition" in plan
