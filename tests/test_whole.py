@@ -107,3 +107,27 @@ def test_tri_state_exchanges_no_pairs_side_by_region(spark, sf_dir):
     """Five regions would make five tasks, which spill all customers of a region."""
     plan = QUERIES["tri_state"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in next(line for line in plan.splitlines() if "Join" in line) and "Repartition" in plan
+
+
+def written_as_sql_says(spark, folder, name, **tables):
+    """Bytes and rows of a query's result as files, which are the rows of its SQL."""
+    con = duckdb.connect()
+    for t, (rows, spec) in tables.items():
+        spark.createDataFrame(rows, spec).repartition(2).write.parquet(f"{folder}/{t}.parquet")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    QUERIES[name](spark, str(folder)).write.parquet(f"{folder}/out")
+    con.sql(f"CREATE VIEW got AS SELECT * FROM '{folder}/out/*.parquet'")
+    columns = ", ".join(r[0] for r in con.sql("DESCRIBE got").fetchall())
+    got, want = (con.sql(f"SELECT count(*), sum(hash({columns})::HUGEINT), bit_xor(hash({columns})) FROM {t}").fetchall()[0] for t in ("got", f"({ORACLES[name]})"))
+    assert got == want
+    return sum(f.stat().st_size for f in folder.glob("out/*.parquet")), got[0]
+
+
+def test_tri_state_pairs_take_little_space(spark, tmp_path):
+    """Tiles of more and of fewer ids than a tile holds, ids and nations that are null; all pairs, in an order that files hold well."""
+    nations = [(i, f"NATION_{i}" if i else None, i % 2) for i in range(5)]
+    size, n = written_as_sql_says(
+        spark, tmp_path, "tri_state", nation=(nations, "n_nationkey int, n_name string, n_regionkey int"),
+        supplier=([(i if i != 7 else None, i % 6 if i % 50 else None) for i in range(1500)], "s_suppkey long, s_nationkey int"), customer=([(i if i % 900 else None, i % 5 if i > 1400 else 1) for i in range(2300)], "c_custkey long, c_nationkey int"),
+    )
+    assert n > 1_000_000 and size < n / 2
