@@ -131,3 +131,11 @@ def test_tri_state_pairs_take_little_space(spark, tmp_path):
         supplier=([(i if i != 7 else None, i % 6 if i % 50 else None) for i in range(1500)], "s_suppkey long, s_nationkey int"), customer=([(i if i % 900 else None, i % 5 if i > 1400 else 1) for i in range(2300)], "c_custkey long, c_nationkey int"),
     )
     assert n > 1_000_000 and size < n / 2
+
+
+def test_name_frequency_rounds_before_pairs(spark, tmp_path):
+    """Names, brands, types and sizes that are null, a name of its own for each of some parts; no work is left for each pair."""
+    rows = [(i if i != 3 else None, f"name {i % 3}" if i % 9 else (None if i % 2 else f"own {i}"), "ab"[i % 2] if i % 70 else None, "one" if i % 80 else None, i // 2 % 50 if i % 90 else None) for i in range(3600)]
+    size, n = written_as_sql_says(spark, tmp_path, "name_frequency", part=(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"))
+    plan = QUERIES["name_frequency"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert n > 1_000_000 and size < n / 2 and not any("round(" in line for line in plan[: next(i for i, line in enumerate(plan) if "Join" in line)])
