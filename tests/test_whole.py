@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kindra.functions import vectors
@@ -139,3 +140,31 @@ def test_name_frequency_rounds_before_pairs(spark, tmp_path):
     size, n = written_as_sql_says(spark, tmp_path, "name_frequency", part=(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"))
     plan = QUERIES["name_frequency"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert n > 1_000_000 and size < n / 2 and not any("round(" in line for line in plan[: next(i for i, line in enumerate(plan) if "Join" in line)])
+
+
+def test_searches_multiply_common_terms_and_pass_over_the_rest(spark, monkeypatch):
+    """Scores by matrices, by postings and by both; many ties by rounding, in parts that are given on early, against a sort of all."""
+    rng = np.random.default_rng(5)
+    n, lists = 400, [np.sort(rng.choice(60, 8, replace=False)) for _ in range(400)]
+    chunk = {"lengths": np.full(n, 8).tobytes(), "terms": np.concatenate(lists).astype(np.int64).tobytes(), "weights": np.round(rng.random(8 * n), 1).tobytes()}
+    asked = [(q, t, float(w)) for q in range(30) for t, w in zip(rng.choice(70, 6, replace=False).tolist(), np.round(rng.random(6), 1).tolist(), strict=True)]
+    table = pa.table({"s1_id": [a[0] for a in asked], "h": [a[1] for a in asked], "w": [a[2] for a in asked]})
+    block = retrieval._invert((pa.scalar(0),), table, pa.int64()).to_pylist()[0]
+    full = np.zeros((n, 70))
+    full[np.repeat(np.arange(n), 8), np.concatenate(lists)] = np.frombuffer(chunk["weights"])
+    want = full @ np.array([[sum(w for q, t, w in asked if (q, t) == (i, j)) for i in range(30)] for j in range(70)])
+    for common, terms in ((0.0, 7), (0.01, 512), (2.0, 512)):
+        monkeypatch.setattr(retrieval, "COMMON", common)
+        monkeypatch.setattr(retrieval, "DENSE_TERMS", terms)
+        assert np.allclose(retrieval._sparse_scores(chunk, block), want)
+    names, k = [f"d{i}" for i in rng.permutation(n)], 5
+    best, found = retrieval.Best(k), {}
+    for lo in range(0, n, 50):
+        best.offer(list(range(30)), "x", names[lo : lo + 50], want[lo : lo + 50], 0.0)
+        if lo % 100 == 0:
+            for q, i, _, s in best.batch(pa.schema([("q", pa.int64()), ("i", pa.string()), ("source", pa.string()), ("s", pa.float64())])).to_pandas().itertuples(index=False):
+                found.setdefault(q, []).append((-np.floor(s * 1e6 + 0.5), i))
+    for (q, _), held in best.found.items():
+        found.setdefault(q, []).extend(x[:2] for x in held)
+    for q in range(30):
+        assert sorted(found[q])[:k] == sorted((-np.floor(s * 1e6 + 0.5), i) for s, i in zip(want[:, q], names, strict=True) if s > 0)[:k]
