@@ -168,3 +168,17 @@ def test_searches_multiply_common_terms_and_pass_over_the_rest(spark, monkeypatc
         found.setdefault(q, []).extend(x[:2] for x in held)
     for q in range(30):
         assert sorted(found[q])[:k] == sorted((-np.floor(s * 1e6 + 0.5), i) for s, i in zip(want[:, q], names, strict=True) if s > 0)[:k]
+
+
+def test_dear_work_is_dealt_out(spark):
+    """Few bytes that are much work (string scores of some thousand pairs) would be one task; ids that stand for others are sent."""
+    from kindra.plans import methods
+    from kindra.sources.tables import Split
+
+    s = [spark.createDataFrame([(f"{p}-{i}", f"Oak {i % 3} Ltd", f"{i} High Street", "India", p) for i in range(12)], "entity_id string, business_name string, business_address string, country string, source string") for p in ("S1", "S2")]
+    once = methods.alike(Split("few", *s, None))
+    found, spaces = features.retrieve(once)
+    kinds = features.with_records(found.select("s1_id", F.col("c_rep").alias("c_id")).distinct(), once.s1, once.s23)
+    assert features.score_features(kinds, once.s1, once.s23, spaces).rdd.getNumPartitions() >= 4
+    plan = features.of_all_members(found, once)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "Repartition" in plan
